@@ -12,6 +12,7 @@ from __future__ import annotations
 import codecs
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,9 @@ PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 SAFE = regex.compile(r"(?<=\S) (?=\S)")
 BLOCK = 1 << 16
 #: Pieces that a worker remembers. The cache only saves work: when full it starts anew.
-CACHE_PIECES, CACHE_BYTES = 300_000, 64
+CACHE_PIECES, CACHE_BYTES = 500_000, 64
+#: The rank of a pair that never merges.
+NONE = np.iinfo(np.int64).max
 
 
 def byte_letters() -> dict[str, int]:
@@ -51,6 +54,33 @@ def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     return max([0, *reach.values(), *inner.values()])
 
 
+class PairTable:
+    """Ranks of pairs of ids by hashing: what collides in one table goes to the next."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        keys, ranks = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64), np.arange(len(a))
+        self.bits = max(8, (8 * len(a)).bit_length())
+        self.tables: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
+        while len(keys):
+            factor = np.uint64(pow(0x9E3779B97F4A7C15, 2 * len(self.tables) + 1, 1 << 64))
+            at = keys * factor >> np.uint64(64 - self.bits)
+            _, first = np.unique(at, return_index=True)
+            held, rank = np.full(1 << self.bits, ~np.uint64(0)), np.zeros(1 << self.bits, np.int64)
+            held[at[first]], rank[at[first]] = keys[first], ranks[first]
+            self.tables.append((factor, held, rank))
+            keys, ranks = np.delete(keys, first), np.delete(ranks, first)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or NONE."""
+        keys = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+        out = np.full(len(keys), NONE, np.int64)
+        for factor, held, rank in self.tables:
+            at = keys * factor >> np.uint64(64 - self.bits)
+            found = held[at] == keys
+            out[found] = rank[at[found]]
+        return out
+
+
 class StreamingBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -60,8 +90,10 @@ class StreamingBpe:
         vocabulary = {to_bytes(s): i for s, i in held["model"]["vocab"].items()}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in held["model"]["merges"]]
         merges = [(to_bytes(a), to_bytes(b)) for a, b in pairs]
-        self.ranks = {(vocabulary[a], vocabulary[b]): (r, vocabulary[a + b]) for r, (a, b) in enumerate(merges)}
-        self.bytes = [vocabulary[bytes([b])] for b in range(256)]
+        ends = np.array([(vocabulary[a], vocabulary[b]) for a, b in merges])
+        self.pairs = PairTable(ends[:, 0], ends[:, 1])
+        self.merged = np.array([vocabulary[a + b] for a, b in merges])
+        self.bytes = np.array([vocabulary[bytes([b])] for b in range(256)])
         self.table = {i: b for b, i in vocabulary.items()}
         self.added = {t["content"]: t["id"] for t in held["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in held["added_tokens"]):
@@ -70,66 +102,85 @@ class StreamingBpe:
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.lookahead = lookahead(merges)
         self.window = 4 * (self.lookahead + max(map(len, self.table.values())))
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, data: bytes) -> list[int]:
-        """Ids of one window: the lowest rank first, the leftmost of equals first."""
-        ids = [self.bytes[b] for b in data]
-        ranks = self.ranks
-        while len(ids) > 1:
-            best = min((ranks[p] for p in zip(ids, ids[1:], strict=False) if p in ranks), default=None)
-            if best is None:
-                break
-            rank, new = best
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and ranks.get((ids[i], ids[i + 1]), (-1,))[0] == rank:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        self.cache: dict[str, tuple[int, ...]] = {p: (i,) for p, i in self.added.items()}
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of short pieces, all at once: in each piece the lowest rank first, the leftmost of equals first."""
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        ids = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.int64)
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        done_ids, done_owner = [], []
+        while len(ids):
+            last = np.ones(len(ids), bool)
+            last[:-1] = owner[1:] != owner[:-1]
+            ranks = np.full(len(ids), NONE, np.int64)
+            at = np.flatnonzero(~last)
+            ranks[at] = self.pairs.ranks(ids[at], ids[at + 1])
+            heads = np.flatnonzero(np.append(True, last[:-1]))
+            least = np.minimum.reduceat(ranks, heads)
+            least = np.repeat(least, np.diff(np.append(heads, len(ids))))
+            ready = least == NONE
+            if ready.any():
+                done_ids.append(ids[ready])
+                done_owner.append(owner[ready])
+                ids, owner, ranks, least = (x[~ready] for x in (ids, owner, ranks, least))
+            hits = ranks == least
+            #: Equal pairs can overlap, as in "aaa"; of a run each second one merges.
+            heads = hits.copy()
+            heads[1:] &= ~hits[:-1]
+            place = np.arange(len(hits))
+            hits &= (place - np.maximum.accumulate(np.where(heads, place, 0))) % 2 == 0
+            at = np.flatnonzero(hits)
+            ids[at] = self.merged[ranks[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, owner = ids[keep], owner[keep]
+        owner = np.concatenate([*done_owner, np.zeros(0, np.int64)])
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate([*done_ids, np.zeros(0, np.int64)])[order], np.searchsorted(owner[order], np.arange(len(pieces) + 1))
 
     def stream(self, data: bytes) -> Iterator[int]:
         """Ids of one piece of any length: a token goes out once the lookahead lies within the window."""
         at = 0
         while len(data) - at > self.window:
             end, stable = 0, self.window - self.lookahead
-            for i in self.merge(data[at : at + self.window]):
+            for i in self.merge([data[at : at + self.window]])[0].tolist():
                 if end + len(self.table[i]) > stable:
                     break
                 end += len(self.table[i])
                 yield i
             at += end
-        yield from self.merge(data[at:])
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.stream(piece.encode()))
-        if len(piece) <= CACHE_BYTES:
-            if len(self.cache) >= CACHE_PIECES:
-                self.cache.clear()
-            self.cache[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> Iterator[np.ndarray]:
-        """Ids of a text, block by block. Added tokens in it count as such, as by the library."""
-        cache = self.cache
+        yield from self.merge([data[at:]])[0].tolist()
+
+    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of pieces that the cache lacks."""
+        short = [(p, b) for p in pieces if len(b := p.encode()) <= self.window]
+        flat, bounds = self.merge([b for _, b in short])
+        flat = flat.tolist()
+        out = {p: tuple(flat[i:j]) for (p, _), i, j in zip(short, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)}
+        return out | {p: tuple(self.stream(p.encode())) for p in pieces if p not in out}
+
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text, a block of it at a time; an added token is a block by itself."""
         for part in self.split.split(text) if self.split else [text]:
-            if part in self.added:
-                yield np.array([self.added[part]], np.int32)
-                continue
             at = 0
             while at < len(part):
-                cut = SAFE.search(part, at + BLOCK) if len(part) - at > BLOCK else None
+                cut = SAFE.search(part, at + BLOCK) if len(part) - at > BLOCK and part not in self.added else None
                 end = cut.start() if cut else len(part)
-                ids: list[int] = []
-                for p in PIECES.findall(part[at:end] if cut or at else part):
-                    ids += cache.get(p) or self.piece(p)
-                yield np.array(ids, np.int32)
+                yield [part] if part in self.added else PIECES.findall(part[at:end])
                 at = end
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Added tokens in it count as such, as by the library."""
+        split = [[p for block in self.blocks(t) for p in block] for t in texts]
+        if len(self.cache) > CACHE_PIECES:
+            self.cache = {p: (i,) for p, i in self.added.items()}
+        new = set().union(*split) - self.cache.keys()
+        found = self.learn(new)
+        self.cache.update((p, x) for p, x in found.items() if len(p) <= CACHE_BYTES)
+        known = {**self.cache, **found} if any(len(p) > CACHE_BYTES for p in found) else self.cache
+        return [np.fromiter(chain.from_iterable(map(known.__getitem__, s)), np.int32) for s in split]
+
     def decode(self, blocks: Iterator[np.ndarray]) -> Iterator[str]:
         """Text of ids that come block by block; bytes of an unfinished character wait, wrong ones become U+FFFD."""
         machine, table = codecs.getincrementaldecoder("utf-8")("replace"), self.table
@@ -151,11 +202,8 @@ def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = machine(path)
         for batch in slices(batches, "text", 1 << 20):
-            ids, texts = [], []
-            for text in batch.column("text").to_pylist():
-                blocks = list(bpe.encode(text or ""))
-                texts.append("".join(bpe.decode(iter(blocks))))
-                ids.append(np.concatenate(blocks) if blocks else np.zeros(0, np.int32))
+            ids = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
+            texts = ["".join(bpe.decode(x[i : i + BLOCK] for i in range(0, len(x), BLOCK))) for x in ids]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
