@@ -110,6 +110,23 @@ def _predicted(model: dict | None):
     return run
 
 
+def _accepted(model: dict | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 19):
+            texts = batch.column("text")
+            known = np.array([t is not None and LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+            score = decode(model, grams_of(texts))[1] if model else np.zeros(len(known))
+            yield batch.filter(pa.array(known & (score >= AMBIGUOUS_BELOW)))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: dict | None) -> DataFrame:
+    """docs without the rows that have no language or an ambiguous one; all columns stay. Without a model none has one."""
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(_accepted(model), docs.schema)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))

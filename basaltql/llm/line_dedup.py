@@ -145,6 +145,36 @@ def near_lines(texts: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFra
     return held.select("at.*", "words", "earlier_words").mapInArrow(_verified, "doc_id long, text_hash long, line int").distinct()
 
 
+def repeated_lines(texts: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, lines): what goes of each of the texts (by_key) that loses a line."""
+    lines = written(texts.mapInArrow(_lines, "doc_id long, text_hash long, line int, hash long, halves array<long>"), "lines")
+    seen = lines.where("hash is not null").select("hash", F.struct("doc_id", "line", "text_hash").alias("at"))
+    firsts = seen.groupBy("hash").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    copies = seen.join(firsts.where("n > 1"), "hash").where("first.doc_id <> at.doc_id or first.line <> at.line").select("at.*")
+    near = near_lines(texts, lines, firsts.select("hash", "first.*"))
+    columns = ["doc_id", "text_hash", "line"]
+    gone = lines.where("hash is null").select(columns).union(copies.select(columns)).union(near.select(columns))
+    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("lines"))
+
+
+def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for text, lines in zip(batch.column("text").to_pylist(), batch.column("__lines").to_pylist(), strict=True):
+            gone = set(lines or ())
+            out.append("\n".join(p for i, p in enumerate(text.split("\n")) if i not in gone) if gone else text)
+        i = batch.schema.get_field_index("text")
+        yield batch.set_column(i, batch.schema.field(i), pa.array(out, batch.schema.field(i).type)).drop_columns(["__doc", "__hash", "__lines"])
+
+
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs with the lines gone that line_dedup removes; all rows and columns stay."""
+    bounded_batches(docs.sparkSession)
+    gone = repeated_lines(by_key(docs)).toDF("__doc", "__hash", "__lines")
+    ours = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))).withColumn("__hash", F.xxhash64("text"))
+    return ours.join(gone, ["__doc", "__hash"], "left").select(*docs.columns, "__doc", "__hash", "__lines").mapInArrow(_rewritten, docs.schema)
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_lines, n_removed, kept_text), one row for each row of docs (doc_id, text and any others).
 
@@ -155,13 +185,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     rows with one doc_id share their coordinates, so equal rows don't remove each other. An empty table gives no rows."""
     bounded_batches(docs.sparkSession)
     texts = by_key(docs)
-    lines = written(texts.mapInArrow(_lines, "doc_id long, text_hash long, line int, hash long, halves array<long>"), "lines")
-    seen = lines.where("hash is not null").select("hash", F.struct("doc_id", "line", "text_hash").alias("at"))
-    firsts = seen.groupBy("hash").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    copies = seen.join(firsts.where("n > 1"), "hash").where("first.doc_id <> at.doc_id or first.line <> at.line").select("at.*")
-    near = near_lines(texts, lines, firsts.select("hash", "first.*"))
-    columns = ["doc_id", "text_hash", "line"]
-    gone = lines.where("hash is null").select(columns).union(copies.select(columns)).union(near.select(columns)).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("lines"))
+    gone = repeated_lines(texts)
     out = texts.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", "lines").mapInArrow(_without, "doc_id long, text_hash long, n_lines long, n_removed long, kept_text string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_ID))))
 
