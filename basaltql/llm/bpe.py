@@ -40,6 +40,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def merge_list(held: dict) -> list[tuple[str, str]]:
+    """The merges of a vocabulary file, by rank; each is a pair or a text with a space."""
+    return [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in held["model"]["merges"]]
+
+
 def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     """Bytes after a token's end that can decide whether it stays. Sound for merges applied by rank, leftmost first.
 
@@ -81,34 +86,17 @@ class PairTable:
         return out
 
 
-class StreamingBpe:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            held = json.load(file)
-        letters = byte_letters()
-        to_bytes = lambda s: bytes(letters[c] for c in s)
-        vocabulary = {to_bytes(s): i for s, i in held["model"]["vocab"].items()}
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in held["model"]["merges"]]
-        merges = [(to_bytes(a), to_bytes(b)) for a, b in pairs]
+class Merges:
+    """A merge list over a vocabulary of strings, applied to many pieces at once."""
+
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
         ends = np.array([(vocabulary[a], vocabulary[b]) for a, b in merges])
         self.pairs = PairTable(ends[:, 0], ends[:, 1])
         self.merged = np.array([vocabulary[a + b] for a, b in merges])
-        self.bytes = np.array([vocabulary[bytes([b])] for b in range(256)])
-        self.table = {i: b for b, i in vocabulary.items()}
-        self.added = {t["content"]: t["id"] for t in held["added_tokens"]}
-        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in held["added_tokens"]):
-            raise ValueError("added tokens with conditions aren't supported")
-        self.table |= {i: s.encode() for s, i in self.added.items()}
-        self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.lookahead = lookahead(merges)
-        self.window = 4 * (self.lookahead + max(map(len, self.table.values())))
-        self.cache: dict[str, tuple[int, ...]] = {p: (i,) for p, i in self.added.items()}
 
-    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds) of short pieces, all at once: in each piece the lowest rank first, the leftmost of equals first."""
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        ids = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.int64)
-        owner = np.repeat(np.arange(len(pieces)), sizes)
+    def run(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of pieces of so many ids, all at once: the lowest rank first, the leftmost of equals first."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         done_ids, done_owner = [], []
         while len(ids):
             last = np.ones(len(ids), bool)
@@ -137,7 +125,33 @@ class StreamingBpe:
             ids, owner = ids[keep], owner[keep]
         owner = np.concatenate([*done_owner, np.zeros(0, np.int64)])
         order = np.argsort(owner, kind="stable")
-        return np.concatenate([*done_ids, np.zeros(0, np.int64)])[order], np.searchsorted(owner[order], np.arange(len(pieces) + 1))
+        return np.concatenate([*done_ids, np.zeros(0, np.int64)])[order], np.searchsorted(owner[order], np.arange(len(sizes) + 1))
+
+
+class StreamingBpe:
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        letters = byte_letters()
+        to_bytes = lambda s: bytes(letters[c] for c in s)
+        vocabulary = {to_bytes(s): i for s, i in held["model"]["vocab"].items()}
+        pairs = merge_list(held)
+        merges = [(to_bytes(a), to_bytes(b)) for a, b in pairs]
+        self.merges = Merges(held["model"]["vocab"], pairs)
+        self.bytes = np.array([vocabulary[bytes([b])] for b in range(256)], np.int64)
+        self.table = {i: b for b, i in vocabulary.items()}
+        self.added = {t["content"]: t["id"] for t in held["added_tokens"]}
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in held["added_tokens"]):
+            raise ValueError("added tokens with conditions aren't supported")
+        self.table |= {i: s.encode() for s, i in self.added.items()}
+        self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.lookahead = lookahead(merges)
+        self.window = 4 * (self.lookahead + max(map(len, self.table.values())))
+        self.cache: dict[str, tuple[int, ...]] = {p: (i,) for p, i in self.added.items()}
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of short pieces."""
+        return self.merges.run(self.bytes[np.frombuffer(b"".join(pieces), np.uint8)], np.array([len(p) for p in pieces], np.int64))
 
     def stream(self, data: bytes) -> Iterator[int]:
         """Ids of one piece of any length: a token goes out once the lookahead lies within the window."""

@@ -7,8 +7,8 @@ largest free room. Then the emptiest bins are dissolved: their ids are cut to fi
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +17,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import Merges, byte_letters, merge_list
 from .spark_tools import bounded_batches, input_bytes, keyed, read, slices
-from .text_arrays import ranges
+from .text_arrays import U, ranges, words_of
 
 LENGTH, GROUP_DOCS, GROUP_TOKENS, END_ID = 2048, 4096, 4_000_000, 1
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: White space by the tokenizer's pattern; str.split() also splits at these four.
-SEPARATORS, WHITE = regex.compile(r"[\x1c-\x1f]"), regex.compile(r"\s+")
+#: How the tokenizer splits words (its file's pattern), and the mark of a word's end.
+PARTS = regex.compile(r"""\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+""")
+#: Below it, normal forms change no letter. White space beyond the six characters, and added tokens, are the library's.
+LATIN_END, ODD = "\u0180", regex.compile(r"\s|<\|")
 #: Words that a worker remembers. The cache only saves work: when full it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 2_000_000
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that never joins across white space, each different word encoded once."""
+    """Ids of whole texts by a tokenizer that never joins across white space: each different word is encoded once.
+
+    Words are told apart by 64-bit hashes and kept in sorted arrays, so a worker remembers millions of them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -37,47 +42,67 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.mark = next(iter(self.added))
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        vocabulary, end = held["model"]["vocab"], held["model"]["end_of_word_suffix"]
+        self.merges = Merges(vocabulary, merge_list(held))
+        letters = {b: c for c, b in byte_letters().items()}
+        self.inner, self.closing = (np.array([vocabulary[letters[b] + x] for b in range(256)], np.int64) for x in ("", end))
         self._clear()
 
     def _clear(self) -> None:
-        self.places: dict[str, int] = {}
-        self.ids, self.starts, self.counts = (np.zeros(0, np.int64) for _ in range(3))
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new words. One text of many, parted by an added token, costs less than a call for each."""
-        odd = [w for w in words if any(t in w for t in self.added)]
-        plain = [w for w in words if w not in set(odd)] if odd else words
-        ids, counts = [], []
-        for k in range(0, len(plain), 4096):
-            some = plain[k : k + 4096]
-            flat = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, np.int64)
-            marks = flat == self.added[self.mark]
-            ids.append(flat[~marks])
-            counts.append(np.diff(np.concatenate([[-1], np.flatnonzero(marks), [len(flat)]])) - 1)
-        for w in odd:
-            ids.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.int64))
-            counts.append(np.array([len(ids[-1])]))
-        self.places.update(zip(plain + odd, range(len(self.places), len(self.places) + len(words)), strict=True))
-        counts = np.concatenate(counts)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.ids = np.concatenate([self.ids, *ids])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.hashes = np.zeros(0, U)
+        self.ids = np.zeros(0, np.int32)
+        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): words of Latin letters by the merge list, their different pieces once; others by the library."""
+        usual = np.array([(w.isascii() or (max(w) < LATIN_END and "\u0130" not in w)) and not ODD.search(w) for w in words], bool)
+        pieces = PARTS.findall("\n".join([*(w for w, u in zip(words, usual.tolist(), strict=True) if u), ""]).lower())
+        places = {"\n": 0}
+        at = np.array([places.setdefault(p, len(places)) for p in pieces], np.int64)
+        spelled = [p.encode() for p in places][1:]
+        sizes = np.array([len(b) for b in spelled], np.int64)
+        letters = np.frombuffer(b"".join(spelled), np.uint8)
+        last = np.zeros(len(letters), bool)
+        last[np.cumsum(sizes) - 1] = True
+        flat, bounds = self.merges.run(np.where(last, self.closing[letters], self.inner[letters]), sizes)
+        #: The mark of a word's end has place 0 and no ids.
+        starts, counts = np.append(0, bounds[:-1]), np.append(0, np.diff(bounds))
+        n = counts[at]
+        out = np.zeros(len(words), np.int64)
+        out[usual] = np.diff(np.append(0, np.cumsum(n)[at == 0]))
+        ids = flat[ranges(starts[at], n)]
+        odd = np.flatnonzero(~usual)
+        if len(odd):
+            by_library = [np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, np.int64) for i in odd.tolist()]
+            before = np.cumsum(out)[odd]
+            ids = np.insert(ids, np.repeat(before, [len(x) for x in by_library]), np.concatenate(by_library))
+            out[odd] = [len(x) for x in by_library]
+        return ids, out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of the texts; a null has none."""
-        split = [[] if not t else [w for w in WHITE.split(t) if w] if SEPARATORS.search(t) else t.split() for t in texts]
-        if len(self.places) > CACHE_WORDS:
+        words = words_of(texts)
+        hashes, first, place = np.unique(words.hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > CACHE_WORDS:
             self._clear()
-        new = list(set().union(*split) - self.places.keys())
-        if new:
-            self._learn(new)
-        words = np.array([len(s) for s in split], np.int64)
-        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), np.int64, int(words.sum()))
-        n = self.counts[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return self.ids[ranges(self.starts[at], n)], ends[np.concatenate([[0], np.cumsum(words)])]
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.flatnonzero(hashes != np.append(self.hashes, U(0))[at]) if len(self.hashes) else np.arange(len(hashes))
+        if len(new):
+            spans = words.starts[first[new]], words.ends[first[new]]
+            spelled = np.full(int((spans[1] - spans[0] + 1).sum()), 10, np.uint8)
+            sizes = spans[1] - spans[0]
+            spelled[ranges(np.cumsum(sizes + 1) - sizes - 1, sizes)] = words.data[ranges(spans[0], sizes)]
+            ids, counts = self._encoded(spelled.tobytes().decode().split("\n")[:-1])
+            self.hashes = np.insert(self.hashes, at[new], hashes[new])
+            self.starts = np.insert(self.starts, at[new], len(self.ids) + np.cumsum(counts) - counts)
+            self.counts = np.insert(self.counts, at[new], counts)
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            at = np.searchsorted(self.hashes, hashes)
+        at = at[place]
+        n = self.counts[at].astype(np.int64)
+        return self.ids[ranges(self.starts[at], n)], np.concatenate([[0], np.cumsum(n)])[words.bounds]
 
 
 class TournamentTree:
@@ -160,7 +185,7 @@ def _packed(path: str, length: int):
 
         tokens = 0
         for batch in slices(batches, "text", 2 << 20):
-            flat, bounds = tokenizer.encode(batch.column("text").to_pylist())
+            flat, bounds = tokenizer.encode(batch.column("text"))
             for d, i, j in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 docs.append(d)
                 ids.append(np.append(flat[i:j], END_ID).astype("<u4"))
