@@ -5,8 +5,9 @@ bits: floor(1 - log_B(min / A)). Registers merge by maximum, and two registers a
 Jaccard similarity. ROWS registers make a band; documents that share a band are candidates. Of a band's documents each is
 first held against one hub, the one with the smallest id, which links large groups of copies by a star and never by all
 pairs. Components of these links leave some bands whose documents lie in different components; only there, blocks of a
-band are compared with each other by the likelihood of the joint registers, and likely pairs are verified as well. Every
-link that counts is confirmed on full sets."""
+band are compared with each other: a pair is dropped if its own shingles, those that no other document there has, already
+rule the similarity out, or if the likelihood of the joint registers does. What is left is verified as well. Every link
+that counts is confirmed on full sets."""
 
 from __future__ import annotations
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .spark_tools import bounded_batches, gathered, keyed, partitions_for, read, slices, written
+from .spark_tools import bounded_batches, gathered, keyed, read, slices, written
 from .text_arrays import U, grams, mix, span_hash, words_of
 
 SHINGLE_WORDS, PERCENT = 5, 75
@@ -147,13 +148,15 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "block_registers", 8 << 20):
         for row in batch.to_pylist():
             registers = np.frombuffer(row["block_registers"], np.uint16).reshape(-1, REGISTERS)
-            node, label, n, side = (np.array(row[c]) for c in ("nodes", "labels", "sizes", "sides"))
+            node, label, n, own, side = (np.array(row[c]) for c in ("nodes", "labels", "sizes", "owns", "sides"))
             left = np.flatnonzero(side != 1)
             right = np.flatnonzero(side != 0)
             pairs = []
             for i in left.tolist():
                 j = right[(label[right] != label[i]) & ((node[right] > node[i]) if row["same"] else True)]
-                j = j[100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i])]
+                #: Shingles of one document only can't be common to two.
+                common = np.minimum(n[j] - own[j], n[i] - own[i])
+                j = j[100 * common >= PERCENT * (n[j] + n[i] - common)]
                 if len(j):
                     j = j[(registers[j] == registers[i]).sum(1) >= REGISTERS * (LIKELY - 0.05)]
                 if len(j):
@@ -164,6 +167,45 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
+def _shared_out(buckets: int):
+    """Each set's shingles by bucket: the nodes, how many shingles each has here, and those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "shingles", 8 << 20):
+            sets = [np.frombuffer(x, U) for x in batch.column("shingles").to_pylist()]
+            if not sets:
+                continue
+            values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            bucket = (mix(values) % U(buckets)).astype(np.int64)
+            order = np.lexsort((owner, bucket))
+            values, owner, cuts = values[order], owner[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            node, rows = batch.column("node").to_numpy(), []
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                here, counts = np.unique(owner[cuts[b] : cuts[b + 1]], return_counts=True)
+                rows.append((b, node[here].tobytes(), counts.astype(np.int64).tobytes(), values[cuts[b] : cuts[b + 1]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "nodes", "counts", "shingles"])
+
+    return run
+
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a partition's buckets each node has alone."""
+    held = [[np.frombuffer(x, t) for x, t in zip(row, (np.int64, np.int64, U), strict=True)] for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("nodes", "counts", "shingles")), strict=True)]
+    if held:
+        nodes, counts, values = (np.concatenate(c) for c in zip(*held, strict=True))
+        owner = np.repeat(nodes, counts)
+        _, first, often = np.unique(values, return_index=True, return_counts=True)
+        node, own = np.unique(owner[first[often == 1]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(own.astype(np.int64))], ["node", "own"])
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, own): how many shingles of each of the sets (node, shingles) no other one has; nodes with none are left out."""
+    buckets = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = sets.mapInArrow(_shared_out(buckets), "bucket int, nodes binary, counts binary, shingles binary").repartition(buckets, "bucket")
+    return parts.mapInArrow(_own, "node long, own long").groupBy("node").agg(F.sum("own").alias("own"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs (doc_id, text and any others).
 
@@ -183,11 +225,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
     star = bands.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+    def shingles(nodes: DataFrame, name: str) -> DataFrame:
+        """(node, shingles): the full sets of these nodes, from their texts."""
+        return written(texts.select("node", "text").join(nodes, "node", "left_semi").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node", "shingles"]), f"{name}-shingles")
+
+    def confirmed(pairs: DataFrame, full: DataFrame, name: str) -> DataFrame:
         """Of candidate pairs (a, b) those that the full sets confirm."""
-        pairs = written(pairs, f"{name}-likely")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        full = written(texts.select("node", "text").join(wanted, "node", "left_semi").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node", "shingles"]), f"{name}-shingles")
         side = lambda x: full.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
         out = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long").distinct(), f"{name}-links")
@@ -196,24 +239,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     thin = sets.select("node", F.col("n_shingles").alias("n"), "registers")
     of = lambda x: thin.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"))
-    links = confirmed(star.join(of("a"), "a").join(of("b"), "b").mapInArrow(_likely, "a long, b long"), "star")
+    likely = written(star.join(of("a"), "a").join(of("b"), "b").mapInArrow(_likely, "a long, b long"), "star-likely")
+    links = confirmed(likely, shingles(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct(), "star"), "star")
     labels = components(links)
     named = sets.select("node", "bands").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "bands")
     member = named.select("node", "label", F.explode("bands").alias("band"))
     #: Bands of two are settled by their star; so are those that lie in one component.
     open_bands = member.groupBy("band").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("members > 2 and lo <> hi").select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    placed = member.join(open_bands, "band").withColumn("own", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
+    unsettled = written(member.join(open_bands, "band"), "unsettled")
+    full = shingles(unsettled.select("node").distinct(), "rest")
+    placed = unsettled.withColumn("own", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
     #: Each block meets itself and each later one: a document goes once to each meeting.
     meetings = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "node", "label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
     blocks = (
-        meetings.join(thin, "node")
+        meetings.join(thin.join(own_shingles(full), "node", "left").fillna(0, ["own"]), "node")
         .groupBy("band", "x", "y")
-        .agg(F.sort_array(F.collect_list(F.struct("node", "label", "n", "side", "registers"))).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        .agg(F.sort_array(F.collect_list(F.struct("node", "label", "n", "own", "side", "registers"))).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         .where("lo <> hi")
-        .select(F.col("m.node").alias("nodes"), F.col("m.label").alias("labels"), F.col("m.n").alias("sizes"), F.col("m.side").alias("sides"), (F.col("x") == F.col("y")).alias("same"), F.expr("unhex(array_join(transform(m, r -> hex(r.registers)), ''))").alias("block_registers"))
+        .select(F.col("m.node").alias("nodes"), F.col("m.label").alias("labels"), F.col("m.n").alias("sizes"), F.col("m.own").alias("owns"), F.col("m.side").alias("sides"), (F.col("x") == F.col("y")).alias("same"), F.expr("unhex(array_join(transform(m, r -> hex(r.registers)), ''))").alias("block_registers"))
     )
     rest = blocks.mapInArrow(_across, "a long, b long").distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = confirmed(rest, "rest")
+    more = confirmed(rest, full, "rest")
     if more.limit(1).count():
         labels = components(links.union(more))
     groups = sets.select(*content, "node").join(labels, "node", "left").select(*content, F.coalesce("label", "node").alias("label"))
