@@ -37,7 +37,7 @@ def lines_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line's hash and half keys; a line that this part of the input has before gets a null hash: it will go."""
+    """Each line's hash and half keys, the lowest bit of which names the half (1: the last); a line that this part of the input has before gets a null hash: it will go."""
     for batch in gathered(batches, "text", PART_BYTES):
         words = words_of(batch.column("text"))
         rows, number, a, b = lines_of(words)
@@ -54,7 +54,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h in (n // 2, (n - 1) // 2):
             use = np.flatnonzero((n >= NEAR_WORDS) & ~again & ((h == n // 2) if not lists else (h != n // 2)))
             for side, (x, y) in enumerate(((a, a + h), (b - h, b))):
-                lists.append(mix(span_hash(sums, x[use], y[use]) + U(2) * h[use].astype(U) + U(side)))
+                lists.append(mix(span_hash(sums, x[use], y[use]) + h[use].astype(U)) & ~U(1) | U(side))
                 who.append(use)
         order = np.argsort(np.concatenate(who), kind="stable")
         counts = np.bincount(np.concatenate(who), minlength=len(rows))
@@ -77,11 +77,17 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(batch.column("text"))
         rows, number, a, b = lines_of(words)
         lists = batch.column("lines")
-        asked = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()[: len(lists) + 1])).astype(np.int64) << 32 | lists.flatten().to_numpy()
-        pick = np.isin(rows.astype(np.int64) << 32 | number, asked)
-        rows, number, a, b = rows[pick], number[pick], a[pick], b[pick]
+        asked = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()[: len(lists) + 1])).astype(np.int64) << 34 | lists.flatten().to_numpy()
+        asked, sides = np.sort(asked >> 2), (asked & 3)[np.argsort(asked >> 2)]
+        own = rows.astype(np.int64) << 32 | number
+        pick = np.isin(own, asked)
+        rows, number, a, b, sides = rows[pick], number[pick], a[pick], b[pick], sides[np.searchsorted(asked, own[pick])]
         sums = words.sums()
         index, place, rest = deletions(sums, a, b)
+        #: Where only one half is shared, the edit lies in the other one.
+        n = (b - a)[index]
+        other = ((sides[index] & 1 > 0) & (place >= (n - 1) // 2)) | ((sides[index] & 2 > 0) & (place <= n // 2))
+        index, place, rest = index[other], place[other], rest[other]
         keys = np.concatenate([mix(rest + (place.astype(U) + U(1)) * U(0x9FB21C651E98DF25)), mix(rest + SPAN_SALT), span_hash(sums, a, b)])
         index = np.concatenate([index, index, np.arange(len(a))])
         role = np.repeat(np.array([0, 1, 2], np.int8), [len(rest), len(rest), len(a)])
@@ -129,8 +135,8 @@ def near_lines(texts: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFra
     """(doc_id, text_hash, line) of first occurrences that have an earlier line within one edit."""
     halves = lines.where("hash is not null and size(halves) > 0").select("hash", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select("half")
-    candidates = halves.join(shared, "half", "left_semi").select("hash").distinct()
-    asked = firsts.join(candidates, "hash", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_list("line").alias("lines"))
+    candidates = halves.join(shared, "half", "left_semi").groupBy("hash").agg(F.bit_or(F.when(F.col("half").bitwiseAND(F.lit(1)) == 0, 1).otherwise(2)).alias("sides"))
+    asked = firsts.join(candidates, "hash").groupBy("doc_id", "text_hash").agg(F.collect_list(F.col("line").cast("long") * 4 + F.col("sides")).alias("lines"))
     variants = texts.join(asked, ["doc_id", "text_hash"])
     variants = variants.mapInArrow(_variants, "key long, role byte, doc_id long, text_hash long, line int").withColumn("at", F.struct("doc_id", "line", "text_hash"))
     least = lambda role: F.min(F.when(F.col("role") == role, F.col("at")))
