@@ -23,12 +23,12 @@ from .spark_tools import bounded_batches, gathered, keyed, read, slices, written
 from .text_arrays import U, grams, mix, span_hash, words_of
 
 SHINGLE_WORDS, PERCENT = 5, 75
-#: Chance to miss a pair at similarity 0.75: (1 - 0.75**4)**32, about 5e-6.
-BANDS, ROWS = 32, 4
+#: Chance to miss a pair at similarity 0.75: (1 - 0.75**5)**48, about 2e-6.
+BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 #: Base, rate and limit of the registers' exponential scale.
 B, A, LIMIT = 1.001, 20.0, 65534
-#: Pairs whose most likely similarity is below can't have 0.75: four standard deviations of 128 registers.
+#: Pairs whose most likely similarity is below can't have 0.75: four standard deviations of so many registers.
 LIKELY = 0.75 - 4 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: Documents of a band in one block of the pairwise step.
 BLOCK = 256
@@ -226,8 +226,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = bands.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
     def shingles(nodes: DataFrame, name: str) -> DataFrame:
-        """(node, shingles): the full sets of these nodes, from their texts."""
-        return written(texts.select("node", "text").join(nodes, "node", "left_semi").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node", "shingles"]), f"{name}-shingles")
+        """(node, shingles): the full sets of these nodes, from their texts. Merged at every size, so that cost grows evenly."""
+        return written(texts.select("node", "text").join(nodes.hint("merge"), "node", "left_semi").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node", "shingles"]), f"{name}-shingles")
 
     def confirmed(pairs: DataFrame, full: DataFrame, name: str) -> DataFrame:
         """Of candidate pairs (a, b) those that the full sets confirm."""
@@ -239,20 +239,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     thin = sets.select("node", F.col("n_shingles").alias("n"), "registers")
     of = lambda x: thin.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}"))
-    likely = written(star.join(of("a"), "a").join(of("b"), "b").mapInArrow(_likely, "a long, b long"), "star-likely")
-    links = confirmed(likely, shingles(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct(), "star"), "star")
+    star = written(star, "star")
+    #: Later candidates are members of the same bands, so these sets serve every confirmation.
+    full = shingles(star.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "star")
+    likely = star.join(of("a"), "a").join(of("b"), "b").mapInArrow(_likely, "a long, b long")
+    links = confirmed(likely, full, "star")
     labels = components(links)
     named = sets.select("node", "bands").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "bands")
     member = named.select("node", "label", F.explode("bands").alias("band"))
     #: Bands of two are settled by their star; so are those that lie in one component.
     open_bands = member.groupBy("band").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("members > 2 and lo <> hi").select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     unsettled = written(member.join(open_bands, "band"), "unsettled")
-    full = shingles(unsettled.select("node").distinct(), "rest")
+    alone = own_shingles(full.join(unsettled.select("node").distinct(), "node", "left_semi"))
     placed = unsettled.withColumn("own", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
     #: Each block meets itself and each later one: a document goes once to each meeting.
     meetings = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "node", "label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
     blocks = (
-        meetings.join(thin.join(own_shingles(full), "node", "left").fillna(0, ["own"]), "node")
+        meetings.join(thin.join(alone, "node", "left").fillna(0, ["own"]), "node")
         .groupBy("band", "x", "y")
         .agg(F.sort_array(F.collect_list(F.struct("node", "label", "n", "own", "side", "registers"))).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         .where("lo <> hi")
