@@ -149,11 +149,15 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             registers = np.frombuffer(row["block_registers"], np.uint16).reshape(-1, REGISTERS)
             node, label, n, own, side = (np.array(row[c]) for c in ("nodes", "labels", "sizes", "owns", "sides"))
+            #: A pair that shares several bands is looked at in the first of them.
+            bands = band_hashes(registers)
+            here = int((bands[0] == np.int64(row["band"]).astype(U)).argmax())
             left = np.flatnonzero(side != 1)
             right = np.flatnonzero(side != 0)
             pairs = []
             for i in left.tolist():
                 j = right[(label[right] != label[i]) & ((node[right] > node[i]) if row["same"] else True)]
+                j = j[(bands[j] == bands[i]).argmax(1) == here]
                 #: Shingles of one document only can't be common to two.
                 common = np.minimum(n[j] - own[j], n[i] - own[i])
                 j = j[100 * common >= PERCENT * (n[j] + n[i] - common)]
@@ -259,7 +263,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("band", "x", "y")
         .agg(F.sort_array(F.collect_list(F.struct("node", "label", "n", "own", "side", "registers"))).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         .where("lo <> hi")
-        .select(F.col("m.node").alias("nodes"), F.col("m.label").alias("labels"), F.col("m.n").alias("sizes"), F.col("m.own").alias("owns"), F.col("m.side").alias("sides"), (F.col("x") == F.col("y")).alias("same"), F.expr("unhex(array_join(transform(m, r -> hex(r.registers)), ''))").alias("block_registers"))
+        .select("band", F.col("m.node").alias("nodes"), F.col("m.label").alias("labels"), F.col("m.n").alias("sizes"), F.col("m.own").alias("owns"), F.col("m.side").alias("sides"), (F.col("x") == F.col("y")).alias("same"), F.expr("unhex(array_join(transform(m, r -> hex(r.registers)), ''))").alias("block_registers"))
     )
     rest = blocks.mapInArrow(_across, "a long, b long").distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = confirmed(rest, full, "rest")
