@@ -31,7 +31,7 @@ B, A, LIMIT = 1.001, 20.0, 65534
 #: Pairs whose most likely similarity is below can't have 0.75: four standard deviations of so many registers.
 LIKELY = 0.75 - 4 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: Documents of a band in one block of the pairwise step.
-BLOCK = 256
+BLOCK = 512
 MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=U) * U(0xA0761D6478BD642F)) | U(1)
 BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=U) * U(0xE7037ED1A0B428DB))
 SKETCH = "doc_id long, node long, n_shingles long, set_high long, set_low long, registers binary, bands array<long>"
@@ -255,11 +255,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_bands = member.groupBy("band").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("members > 2 and lo <> hi").select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     unsettled = written(member.join(open_bands, "band"), "unsettled")
     alone = own_shingles(full.join(unsettled.select("node").distinct(), "node", "left_semi"))
+    #: A document whose own shingles alone rule out every partner needs no meeting.
+    hopeful = thin.join(alone, "node", "left").fillna(0, ["own"]).where(100 * (F.col("n") - F.col("own")) >= PERCENT * F.col("n"))
     placed = unsettled.withColumn("own", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
     #: Each block meets itself and each later one: a document goes once to each meeting.
     meetings = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "node", "label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
     blocks = (
-        meetings.join(thin.join(alone, "node", "left").fillna(0, ["own"]), "node")
+        meetings.join(hopeful, "node")
         .groupBy("band", "x", "y")
         .agg(F.sort_array(F.collect_list(F.struct("node", "label", "n", "own", "side", "registers"))).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         .where("lo <> hi")
