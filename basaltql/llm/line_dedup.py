@@ -164,21 +164,26 @@ def repeated_lines(texts: DataFrame) -> DataFrame:
 
 
 def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column has the lines that go; it goes, too."""
     for batch in batches:
-        out = []
-        for text, lines in zip(batch.column("text").to_pylist(), batch.column("__lines").to_pylist(), strict=True):
+        out, last = [], batch.num_columns - 1
+        for text, lines in zip(batch.column("text").to_pylist(), batch.column(last).to_pylist(), strict=True):
             gone = set(lines or ())
             out.append("\n".join(p for i, p in enumerate(text.split("\n")) if i not in gone) if gone else text)
         i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, batch.schema.field(i), pa.array(out, batch.schema.field(i).type)).drop_columns(["__doc", "__hash", "__lines"])
+        columns = batch.columns[:last]
+        columns[i] = pa.array(out, batch.schema.field(i).type)
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:last])
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines gone that line_dedup removes; all rows and columns stay."""
     bounded_batches(docs.sparkSession)
-    gone = repeated_lines(by_key(docs)).toDF("__doc", "__hash", "__lines")
-    ours = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))).withColumn("__hash", F.xxhash64("text"))
-    return ours.join(gone, ["__doc", "__hash"], "left").select(*docs.columns, "__doc", "__hash", "__lines").mapInArrow(_rewritten, docs.schema)
+    mark = "_" * (1 + max(map(len, docs.columns)))
+    doc, text_hash, lines = mark + "doc", mark + "hash", mark + "lines"
+    gone = repeated_lines(by_key(docs)).toDF(doc, text_hash, lines)
+    ours = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))).withColumn(text_hash, F.xxhash64("text"))
+    return ours.join(gone, [doc, text_hash], "left").select(*docs.columns, lines).mapInArrow(_rewritten, docs.schema)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
