@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,10 @@ t = tables.table
 def sql(name: str, spark_sql: str, oracle: str | None = None) -> None:
     """A query that Spark SQL states; the oracle is the same text unless given."""
 
+    names = tuple(n for n in tables.TABLES if re.search(rf"\b{n}\b", spark_sql))
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tables.attach(spark, sf_dir)
+        tables.attach(spark, sf_dir, names=names)
         return spark.sql(spark_sql)
 
     query(name, oracle or spark_sql)(run)
