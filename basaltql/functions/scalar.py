@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -25,8 +26,11 @@ def call(name: str, *args) -> Column:
 
 
 def _literal(c: Column) -> str:
-    """The value of a literal Column, for formats that are compiled when the plan is made."""
-    return c._jc.toString()
+    """The value of a literal Column, for formats that are compiled when the plan is made. Spark prints texts quoted."""
+    shown = c._jc.toString()
+    if len(shown) > 1 and shown[0] == shown[-1] == "'":
+        return re.sub(r"\\(.)", r"\1", shown[1:-1])
+    return shown
 
 
 #: Names that mean the same in Spark SQL.
