@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +57,48 @@ def changeset(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     both = pack(old, "before").join(pack(new, "after"), key, "full")
     op = F.when(F.col("before").isNull(), "insert").when(F.col("after").isNull(), "delete").otherwise("update")
     return both.where(~F.col("before").eqNullSafe(F.col("after"))).select(key, op.alias("op"), "before", "after")
+
+
+def upsert(target: DataFrame, rows: DataFrame, key: str, values: dict[str, Column], where: Column | None = None) -> DataFrame:
+    """ON CONFLICT DO UPDATE: a row whose key is there gives the old row values, where the condition holds. t and s name the sides."""
+    keep = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+    return merge(target, rows, key, {c: F.when(keep, v).otherwise(F.col(f"t.{c}")) for c, v in values.items()})
+
+
+def update_from(target: DataFrame, source: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """UPDATE ... FROM: rows with a match get the values, others stay. The source holds a key once."""
+    both = target.alias("t").join(source.alias("s"), F.col(f"t.{key}") == F.col(f"s.{key}"), "left")
+    return both.select(*(F.when(F.col(f"s.{key}").isNotNull(), values[c]).otherwise(F.col(f"t.{c}")).alias(c) if c in values else F.col(f"t.{c}") for c in target.columns))
+
+
+def insert_all(rows: DataFrame, branches: dict[str, Column], first: bool = False, otherwise: str | None = None) -> dict[str, DataFrame]:
+    """INSERT ALL or FIRST: the rows that go to each named target; `otherwise` takes those that meet no condition."""
+    out, met = {}, F.lit(False)
+    for name, condition in branches.items():
+        holds = F.coalesce(condition, F.lit(False))
+        out[name] = rows.where(holds & ~met if first else holds)
+        met = met | holds
+    if otherwise is not None:
+        out[otherwise] = rows.where(~met)
+    return out
+
+
+def returning(df: DataFrame, where: Column, columns: list[Column]) -> DataFrame:
+    """RETURNING: a projection of the rows that a change meets."""
+    return df.where(F.coalesce(where, F.lit(False))).select(*columns)
+
+
+def next_values(df: DataFrame, order: list[str], name: str = "nextval", start: int = 1, step: int = 1) -> DataFrame:
+    """A sequence's values along the order. Partitions are sorted by range and counted, so no task holds all rows; the sorted
+    rows are kept on executors' disks, so that both uses see the same partitions."""
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", at).persist(StorageLevel.DISK_ONLY)
+    counts = ordered.groupBy("__part").agg(F.count("*").alias("__rows")).withColumn("__before", F.sum("__rows").over(Window.orderBy("__part")) - F.col("__rows"))
+    return ordered.join(F.broadcast(counts), "__part").withColumn(name, (F.col("__before") + F.col("__at")) * step + start).drop("__part", "__at", "__rows", "__before")
+
+
+def apply_log(base: DataFrame, log: DataFrame, key: str) -> DataFrame:
+    """The table after a change log (lsn, op, after): each key's last entry wins; op 'delete' removes the row."""
+    last = log.groupBy(key).agg(F.max_by(F.struct("op", "after"), "lsn").alias("__last"))
+    rows = last.where(F.col("__last.op") != "delete").select("__last.after.*")
+    return base.join(last.select(key), key, "left_anti").unionByName(rows)

@@ -50,3 +50,20 @@ def unpivot(df: DataFrame, columns: list[str], name: str, value: str, nulls: boo
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias(name), F.col(c).alias(value)) for c in columns)))
     out = df.withColumn("__pair", pairs).select("*", f"__pair.{name}", f"__pair.{value}").drop("__pair")
     return out if nulls else out.where(F.col(value).isNotNull())
+
+
+def nth_from_last(value: str, n: int, partition: list[str], order: list[Column]) -> Column:
+    """NTH_VALUE(n) FROM LAST over the whole partition; order is the reverse of the window's own."""
+    return F.nth_value(value, n).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+
+def pivot_xml(df: DataFrame, group: list[str], name: str = "pivot_xml") -> DataFrame:
+    """PIVOT XML: a row for each group with an empty set of pivoted values."""
+    return df.select(*group).distinct().withColumn(name, F.lit("<PivotSet></PivotSet>"))
+
+
+def json_group_object(key: str, value: str) -> Column:
+    """An object of a group's keys and values in the keys' order; nulls are written."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(value).alias("v"))))
+    member = lambda p: F.concat(F.to_json(F.array(p["k"])).substr(F.lit(2), F.length(F.to_json(F.array(p["k"]))) - 2), F.lit(":"), F.coalesce(F.regexp_extract(F.to_json(F.array(p["v"])), r"(?s)^\[(.*)\]$", 1), F.lit("null")))
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, member), ","), F.lit("}"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,19 @@ def match_recognize(df: DataFrame, partition: list[str], order: list[str], defin
     own = lambda v: F.filter(F.slice("__rows", F.col("__span.s") + 1, F.length("__span.m")), lambda r: r["__l"] == letters[v])
     out = [(F.size(own(v)).cast("long") if k == "count" else F.element_at(own(v), 1 if k == "first" else -1)[f"__m_{c}"]).alias(n) for n, (v, c, k) in measures.items()]
     return hits.select(*partition, (F.col("__n") + 1).alias("match_number"), *out)
+
+
+def level_rows(spark: SparkSession, n: int) -> DataFrame:
+    """CONNECT BY LEVEL <= n: a row for each level from 1 to n; one at least."""
+    return spark.range(1, max(n, 1) + 1).select(F.col("id").cast("int").alias("level"))
+
+
+def recursive_distinct(anchor: DataFrame, step, most_rounds: int = 64) -> DataFrame:
+    """WITH RECURSIVE ... UNION: step(new rows) until nothing new comes. A round reads only what the last one added."""
+    seen = new = anchor.distinct()
+    for _ in range(most_rounds):
+        new = step(new).distinct().subtract(seen)
+        if new.limit(1).count() == 0:
+            return seen
+        seen = seen.unionByName(new)
+    raise ValueError(f"the recursion still adds rows after {most_rounds} rounds")

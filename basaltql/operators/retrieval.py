@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: BM25's saturation and length weights, and the constant of reciprocal rank fusion.
@@ -150,3 +150,51 @@ def box_intersects(lo: list[str], hi: list[str], box_lo: list[float], box_hi: li
     for a, b, x, y in zip(lo, hi, box_lo, box_hi, strict=True):
         out = out & (F.col(a) <= y) & (F.col(b) >= x)
     return out
+
+
+def queries_of(spark: SparkSession, rows: list[list[float]]) -> DataFrame:
+    """(query_idx, query): a batch of query vectors, numbered from 0."""
+    return spark.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(rows)], "query_idx int, query array<double>")
+
+
+def search_batch(df: DataFrame, id_column: str, vector: str, queries: list[list[float]], k: int, metric: str = "l2", where: Column | None = None) -> DataFrame:
+    """(query_idx, rowid, distance): each query's k nearest of the rows that the payload filter keeps."""
+    rows = df if where is None else df.where(where)
+    return search_join(rows, id_column, vector, queries_of(df.sparkSession, queries), "query_idx", "query", k, metric).withColumnRenamed("query_rowid", "query_idx")
+
+
+def search_join_filtered(targets: DataFrame, target_id: str, target_vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, where: Column, metric: str = "l2") -> DataFrame:
+    """search_join over the targets that the payload filter keeps."""
+    return search_join(targets.where(where), target_id, target_vector, queries, query_id, query_vector, k, metric)
+
+
+def range_search_batch(df: DataFrame, id_column: str, vector: str, queries: list[list[float]], threshold: float, metric: str = "l2") -> DataFrame:
+    """(query_idx, rowid, distance) of all rows within the threshold of each query. The table is read once: the queries, a
+    literal of the plan, are unfolded beside each row."""
+    asked = F.array(*(F.struct(F.lit(i).alias("query_idx"), literal(q).alias("query")) for i, q in enumerate(queries)))
+    rows = df.select(F.col(id_column).alias("rowid"), F.col(vector).alias("__v"), F.explode(asked).alias("__q"))
+    return rows.select(F.col("__q.query_idx").alias("query_idx"), "rowid", METRICS[metric](F.col("__v"), F.col("__q.query")).alias("distance")).where(F.col("distance") <= threshold)
+
+
+def hybrid_search_batch(vectors: DataFrame, vector_id: str, vector: str, docs: DataFrame, doc_id: str, text: str, queries: list[tuple[list[float], str]], k: int) -> DataFrame:
+    """(query_idx, rowid, distance, bm25, rrf_score): hybrid_search of each pair of a vector and words."""
+    out = None
+    for i, (q, words) in enumerate(queries):
+        one = hybrid_search(vectors, vector_id, vector, docs, doc_id, text, q, words, k).select(F.lit(i).alias("query_idx"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def vec_sum(df: DataFrame, group: list[str], vector: str, name: str = "total") -> DataFrame:
+    """VEC_SUM: the sum of each group's vectors; null vectors are left out."""
+    at = df.select(*group, F.posexplode(vector).alias("__i", "__x")).groupBy(*group, "__i").agg(F.sum("__x").alias("__x"))
+    return at.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("__i", "__x"))), lambda s: s["__x"]).alias(name))
+
+
+def box_join(left: DataFrame, right: DataFrame, lo: str, hi: str, other_lo: str, other_hi: str, width: float) -> DataFrame:
+    """Pairs of rows whose intervals meet. Intervals go to the grid cells they cover, so the join is an equi-join; a pair is
+    kept in the first cell that both cover. Column names of the sides must differ."""
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
+    pairs = left.withColumn("__cell", cells(lo, hi)).join(right.withColumn("__cell", cells(other_lo, other_hi)), "__cell")
+    first = F.floor(F.greatest(lo, other_lo) / width)
+    return pairs.where((F.col(lo) <= F.col(other_hi)) & (F.col(hi) >= F.col(other_lo)) & (F.col("__cell") == first)).drop("__cell")
