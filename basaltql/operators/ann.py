@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basaltql.operators.retrieval import l2sq, literal, search, search_batch
+from basaltql.operators.retrieval import l2sq, search, search_batch
 
 #: Rows at most, in expectation, that centres and code books are fitted on; the bound holds the driver's part to some MB.
 SAMPLE_ROWS = 20_000
@@ -48,8 +48,7 @@ def _table(rows: list[list[float]]) -> Column:
 
 def nearest(vector: Column, points: list[list[float]]) -> Column:
     """The number, from 0, of the nearest point; the first of equal ones."""
-    distances = F.transform(_table(points), lambda c: l2sq(c, vector))
-    return F.array_position(distances, F.array_min(distances)).cast("int") - 1
+    return F.array_min(F.transform(_table(points), lambda c, i: F.struct(l2sq(c, vector).alias("d"), i.alias("i"))))["i"]
 
 
 def _rescored(df: DataFrame, key: str, vector: str, query: list[float], k: int, metric: str, rank: Column, rescore: int) -> DataFrame:
@@ -91,8 +90,8 @@ class Signs:
         return cls(df.withColumn("__signs", F.transform(products, lambda x: x >= 0)), key, vector, planes)
 
     def search(self, query: list[float], k: int, metric: str = "l2", rescore: int = 10) -> DataFrame:
-        own = F.array(*(F.lit(bool(x >= 0)) for x in self.planes @ np.array(query)))
-        apart = F.size(F.filter(F.zip_with("__signs", own, lambda a, b: a != b), lambda x: x))
+        own = F.from_json(F.lit(str([int(x >= 0) for x in self.planes @ np.array(query)])), "array<int>")
+        apart = F.size(F.filter(F.zip_with("__signs", own, lambda a, b: a.cast("int") != b), lambda x: x))
         return _rescored(self.rows, self.key, self.vector, query, k, metric, apart, rescore)
 
 
@@ -121,22 +120,21 @@ class Codes:
         middle = centres(known, cells) if cells > 1 else np.zeros((1, dim))
         points = middle.tolist()
         rows = df.withColumn("__cell", nearest(F.col(vector), points) if cells > 1 else F.lit(0))
-        left = F.zip_with(vector, F.element_at(_table(points), F.col("__cell") + 1), lambda a, b: a - b)
+        rows = rows.withColumn("__left", F.zip_with(vector, F.element_at(_table(points), F.col("__cell") + 1), lambda a, b: a - b))
         known = known - middle[_closest(known, middle)]
         books = [centres(part, codes).tolist() for part in np.split(known, parts, axis=1)]
-        held = F.array(*(nearest(p, b) for p, b in zip(_parts(left, dim, parts), books, strict=True)))
-        return cls(rows.withColumn("__codes", held), key, vector, books, points)
+        held = F.array(*(nearest(p, b) for p, b in zip(_parts(F.col("__left"), dim, parts), books, strict=True)))
+        return cls(rows.withColumn("__codes", held).drop("__left"), key, vector, books, points)
 
     def search(self, query: list[float], k: int, metric: str = "l2", probes: int = 8, rescore: int = 10) -> DataFrame:
         q, points = np.array(query), np.array(self.points)
         cells = np.argsort(((points - q) ** 2).sum(1), kind="stable")[:probes]
-        size, rank = len(query) // len(self.books), F.lit(None).cast("double")
+        costs: list[list] = [[] for _ in points]
         for c in cells:
-            gap, total = q - points[c], F.lit(0.0)
-            for i, book in enumerate(self.books):
-                costs = ((np.array(book) - gap[i * size : (i + 1) * size]) ** 2).sum(1)
-                total = total + F.element_at(literal(costs.tolist()), F.col("__codes")[i] + 1)
-            rank = F.when(F.col("__cell") == int(c), total).otherwise(rank)
+            gaps = np.split(q - points[c], len(self.books))
+            costs[c] = [((np.array(book) - gap) ** 2).sum(1).tolist() for book, gap in zip(self.books, gaps, strict=True)]
+        held = F.element_at(F.from_json(F.lit(str(costs)), "array<array<array<double>>>"), F.col("__cell") + 1)
+        rank = F.aggregate(F.zip_with("__codes", held, lambda code, cost: F.element_at(cost, code + 1)), F.lit(0.0), lambda a, b: a + b)
         return _rescored(self.rows.where(F.col("__cell").isin([int(c) for c in cells])), self.key, self.vector, query, k, metric, rank, rescore)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,7 +33,8 @@ METRICS = {"l2": lambda a, b: F.sqrt(l2sq(a, b)), "l2sq": l2sq, "inner_product":
 
 
 def literal(vector: list[float]) -> Column:
-    return F.array(*(F.lit(float(x)) for x in vector))
+    """A vector as one constant: Catalyst folds the text into an array when it plans."""
+    return F.from_json(F.lit(json.dumps([float(x) for x in vector])), "array<double>")
 
 
 def search(df: DataFrame, id_column: str, vector: str, query: list[float], k: int, metric: str = "l2", where: Column | None = None) -> DataFrame:
