@@ -19,8 +19,8 @@ from .spark_tools import bounded_batches, gathered, read, written
 from .substring_dedup import NO_ID, by_key, first_of_each
 from .text_arrays import U, Words, mix, powers, ranges, span_hash, words_of
 
-#: Shorter lines always stay; lines of at least NEAR_WORDS words go also for a near copy.
-LEAST_WORDS, NEAR_WORDS = 3, 8
+#: By default shorter lines stay (the queries pass EVERY_LINE); lines of at least NEAR_WORDS words go also for a near copy.
+LEAST_WORDS, EVERY_LINE, NEAR_WORDS = 3, 1, 8
 PART_BYTES = 4 << 20
 SPAN_SALT = U(0x632BE59BD9B4E019)
 
@@ -36,30 +36,34 @@ def lines_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return rows[first], number[first], first, np.append(first[1:], len(rows)) if len(first) else first
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(least_words: int):
     """Each line's hash and half keys, the lowest bit of which names the half (1: the last); a line that this part of the input has before gets a null hash: it will go."""
-    for batch in gathered(batches, "text", PART_BYTES):
-        words = words_of(batch.column("text"))
-        rows, number, a, b = lines_of(words)
-        long = b - a >= LEAST_WORDS
-        rows, number, a, b = rows[long], number[long], a[long], b[long]
-        sums = words.sums()
-        hashes = span_hash(sums, a, b)
-        doc = batch.column("doc_id").to_numpy()[rows]
-        later, _ = first_of_each(hashes, doc, number)
-        again = np.zeros(len(rows), bool)
-        again[later] = True
-        n = b - a
-        lists, who = [], []
-        for h in (n // 2, (n - 1) // 2):
-            use = np.flatnonzero((n >= NEAR_WORDS) & ~again & ((h == n // 2) if not lists else (h != n // 2)))
-            for side, (x, y) in enumerate(((a, a + h), (b - h, b))):
-                lists.append(mix(span_hash(sums, x[use], y[use]) + h[use].astype(U)) & ~U(1) | U(side))
-                who.append(use)
-        order = np.argsort(np.concatenate(who), kind="stable")
-        counts = np.bincount(np.concatenate(who), minlength=len(rows))
-        halves = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(lists)[order].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(batch.column("text_hash").to_numpy()[rows]), pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64), mask=again), halves], ["doc_id", "text_hash", "line", "hash", "halves"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, "text", PART_BYTES):
+            words = words_of(batch.column("text"))
+            rows, number, a, b = lines_of(words)
+            long = b - a >= least_words
+            rows, number, a, b = rows[long], number[long], a[long], b[long]
+            sums = words.sums()
+            hashes = span_hash(sums, a, b)
+            doc = batch.column("doc_id").to_numpy()[rows]
+            later, _ = first_of_each(hashes, doc, number)
+            again = np.zeros(len(rows), bool)
+            again[later] = True
+            n = b - a
+            lists, who = [], []
+            for h in (n // 2, (n - 1) // 2):
+                use = np.flatnonzero((n >= NEAR_WORDS) & ~again & ((h == n // 2) if not lists else (h != n // 2)))
+                for side, (x, y) in enumerate(((a, a + h), (b - h, b))):
+                    lists.append(mix(span_hash(sums, x[use], y[use]) + h[use].astype(U)) & ~U(1) | U(side))
+                    who.append(use)
+            order = np.argsort(np.concatenate(who), kind="stable")
+            counts = np.bincount(np.concatenate(who), minlength=len(rows))
+            halves = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(lists)[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(batch.column("text_hash").to_numpy()[rows]), pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64), mask=again), halves], ["doc_id", "text_hash", "line", "hash", "halves"])
+
+    return run
 
 
 def deletions(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,9 +155,9 @@ def near_lines(texts: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFra
     return held.select("at.*", "words", "earlier_words").mapInArrow(_verified, "doc_id long, text_hash long, line int").distinct()
 
 
-def repeated_lines(texts: DataFrame) -> DataFrame:
+def repeated_lines(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text_hash, lines): what goes of each of the texts (by_key) that loses a line."""
-    lines = written(texts.mapInArrow(_lines, "doc_id long, text_hash long, line int, hash long, halves array<long>"), "lines")
+    lines = written(texts.mapInArrow(_lines(least_words), "doc_id long, text_hash long, line int, hash long, halves array<long>"), "lines")
     seen = lines.where("hash is not null").select("hash", F.struct("doc_id", "line", "text_hash").alias("at"))
     firsts = seen.groupBy("hash").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     copies = seen.join(firsts.where("n > 1"), "hash").where("first.doc_id <> at.doc_id or first.line <> at.line").select("at.*")
@@ -176,30 +180,30 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:last])
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with the lines gone that line_dedup removes; all rows and columns stay."""
     bounded_batches(docs.sparkSession)
     mark = "_" * (1 + max(map(len, docs.columns)))
     doc, text_hash, lines = mark + "doc", mark + "hash", mark + "lines"
-    gone = repeated_lines(by_key(docs)).toDF(doc, text_hash, lines)
+    gone = repeated_lines(by_key(docs), least_words).toDF(doc, text_hash, lines)
     ours = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))).withColumn(text_hash, F.xxhash64("text"))
     return ours.join(gone, [doc, text_hash], "left").select(*docs.columns, lines).mapInArrow(_rewritten, docs.schema)
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text_hash, n_lines, n_removed, kept_text), one row for each row of docs (doc_id, text and any others).
 
-    Lines are split at `\\n` and compared as sequences of words `[^\\x20\\x09-\\x0D]+`. A line of LEAST_WORDS words or more
+    Lines are split at `\\n` and compared as sequences of words `[^\\x20\\x09-\\x0D]+`. A line of least_words words or more
     goes if an equal line has a smaller coordinate (doc_id, line). Of different lines of NEAR_WORDS words or more, the first
     occurrence goes as well if a first occurrence within one word edit is earlier. All is judged on the input. n_lines:
     lines with a word. A null text counts as empty, and its kept_text is null. Rows without doc_id come last in this order;
     rows with one doc_id share their coordinates, so equal rows don't remove each other. An empty table gives no rows."""
     bounded_batches(docs.sparkSession)
     texts = by_key(docs)
-    gone = repeated_lines(texts)
+    gone = repeated_lines(texts, least_words)
     out = texts.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", "lines").mapInArrow(_without, "doc_id long, text_hash long, n_lines long, n_removed long, kept_text string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_ID))))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return line_dedup(read(spark, sf_dir, "documents"), EVERY_LINE).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

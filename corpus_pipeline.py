@@ -26,7 +26,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from the texts; every document stays, even with no line left."""
-    return _measured(line_dedup.drop_repeated_lines(docs))
+    return _measured(line_dedup.drop_repeated_lines(docs, line_dedup.EVERY_LINE))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
