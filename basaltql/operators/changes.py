@@ -88,7 +88,7 @@ def returning(df: DataFrame, where: Column, columns: list[Column]) -> DataFrame:
     return df.where(F.coalesce(where, F.lit(False))).select(*columns)
 
 
-def next_values(df: DataFrame, order: list[str], name: str = "nextval", start: int = 1, step: int = 1) -> DataFrame:
+def next_values(df: DataFrame, order: list[str | Column], name: str = "nextval", start: int = 1, step: int = 1) -> DataFrame:
     """A sequence's values along the order. Partitions are sorted by range and counted, so no task holds all rows; the sorted
     rows are kept on executors' disks, so that both uses see the same partitions."""
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))

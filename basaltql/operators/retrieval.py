@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .changes import next_values
+
 #: BM25's saturation and length weights, and the constant of reciprocal rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -132,10 +134,13 @@ def rrf(*ranks: Column) -> Column:
     return out
 
 
-def hybrid_search(vectors: DataFrame, vector_id: str, vector: str, docs: DataFrame, doc_id: str, text: str, query: list[float], words: str, k: int, depth: int = 100) -> DataFrame:
-    """(rowid, distance, bm25, rrf_score): the first depth by vector and by BM25, fused by rank."""
-    near = search(vectors, vector_id, vector, query, depth, "cosine").withColumn("__v", F.row_number().over(Window.orderBy("distance", "rowid")))
-    good = bm25(docs, doc_id, text, words).orderBy(F.desc("score"), "rowid").limit(depth).withColumn("__b", F.row_number().over(Window.orderBy(F.desc("score"), "rowid")))
+def hybrid_search(vectors: DataFrame, vector_id: str, vector: str, docs: DataFrame, doc_id: str, text: str, query: list[float], words: str, k: int) -> DataFrame:
+    """(rowid, distance, bm25, rrf_score): the rankings of all rows by vector and of all matches by BM25, fused by rank.
+
+    Both rankings are whole, numbered by sorted ranges, so that no task holds all rows."""
+    near = vectors.select(F.col(vector_id).alias("rowid"), METRICS["cosine"](F.col(vector), literal(query)).alias("distance"))
+    near = next_values(near, ["distance", "rowid"], "__v")
+    good = next_values(bm25(docs, doc_id, text, words), [F.desc("score"), "rowid"], "__b")
     both = near.join(good, "rowid", "full")
     return both.select("rowid", "distance", F.col("score").alias("bm25"), rrf(F.col("__v"), F.col("__b")).alias("rrf_score")).orderBy(F.desc("rrf_score"), "rowid").limit(k)
 
