@@ -3,26 +3,42 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def connect_by(df: DataFrame, key: str, parent: str, start: Column, label: str | None = None, most_levels: int = 64) -> DataFrame:
+#: Levels of a hierarchy that are put together.
+PART_LEVELS = 32
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df without its lineage: written under spark.checkpoint.dir, or where that is unset, as in tests, kept by the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def connect_by(df: DataFrame, key: str, parent: str, start: Column, label: str | None = None) -> DataFrame:
     """START WITH start CONNECT BY NOCYCLE PRIOR key = parent: df's columns, level, root, path, is_leaf, is_cycle.
 
-    One join a level, so as many rounds as the hierarchy is deep; a path that would meet itself ends there."""
+    One join a level, so as many rounds as the hierarchy is deep; a path that would meet itself ends there. Each level is
+    written, which cuts its lineage, and every PART_LEVELS levels become one written part."""
     label = label or key
     row = df.withColumn("level", F.lit(1)).withColumn("root", F.col(key)).withColumn("__seen", F.array(key)).withColumn("path", F.concat(F.lit("/"), F.col(label).cast("string"))).where(start)
     parents = df.select(F.col(parent).alias("__p")).where("__p is not null").distinct()
-    out, level = row, row
-    for n in range(2, most_levels + 1):
+    done, parts, level, n = [], [row], row, 1
+    while True:
+        n += 1
         up = level.select(F.col(key).alias("__up"), "root", "__seen", F.col("path").alias("__path"))
         level = df.join(up, F.col(parent) == F.col("__up")).where(~F.array_contains("__seen", F.col(key)))
         level = level.select(*df.columns, F.lit(n).alias("level"), "root", F.concat("__seen", F.array(F.col(key))).alias("__seen"), F.concat("__path", F.lit("/"), F.col(label).cast("string")).alias("path"))
-        if level.limit(1).count() == 0:
+        level = _cut(level)
+        if level.isEmpty():
             break
-        out = out.unionByName(level)
+        parts.append(level)
+        if len(parts) == PART_LEVELS:
+            done, parts = [*done, _cut(reduce(DataFrame.unionByName, parts))], []
+    out = reduce(DataFrame.unionByName, [*done, *parts])
     nexts = df.select(F.col(parent).alias("__p"), F.col(key).alias("__k"))
     cycles = out.join(nexts, F.col(key) == F.col("__p")).where(F.array_contains("__seen", F.col("__k"))).select("path", F.lit(1).alias("is_cycle")).distinct()
     return out.join(parents, F.col(key) == F.col("__p"), "left").join(cycles, "path", "left").select(*df.columns, "level", "root", "path", F.col("__p").isNull().cast("int").alias("is_leaf"), F.coalesce("is_cycle", F.lit(0)).alias("is_cycle"))

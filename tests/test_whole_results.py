@@ -1,8 +1,8 @@
-"""Whole rankings, beyond the bounds that once cut them."""
+"""Whole rankings and whole hierarchies, beyond the bounds that once cut them."""
 
 from pyspark.sql import functions as F
 
-from basaltql.operators import retrieval
+from basaltql.operators import hierarchy, retrieval
 
 
 def test_hybrid_fuses_whole_rankings(spark):
@@ -23,3 +23,10 @@ def test_hybrid_fuses_whole_rankings(spark):
         assert all(round(r.rrf_score, 12) == round(fused[r.rowid], 12) and r.bm25 == scores.get(r.rowid) for r in got)
     batch = retrieval.hybrid_search_batch(vectors, "id", "v", docs, "id", "text", [([1.0, 0.0], "word")], 250).collect()
     assert sorted(r.rowid for r in batch) == sorted(r.rowid for r in got)
+
+
+def test_connect_by_reaches_every_level(spark):
+    edges = spark.createDataFrame([(i, i - 1 if i > 1 else None) for i in range(1, 71)], "id int, up int")
+    got = hierarchy.connect_by(edges, "id", "up", F.col("up").isNull()).orderBy("level").collect()
+    assert [(r.id, r.level, r.is_leaf, r.is_cycle) for r in got] == [(i, i, int(i == 70), 0) for i in range(1, 71)]
+    assert got[-1].path == "".join(f"/{i}" for i in range(1, 71))
