@@ -27,8 +27,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("passw", "secret", "token", "api")
 TOKEN, LEAST = re.compile(r"[A-Za-z0-9+/_=.-]+"), 16
-#: Training: at most so many texts, and of one text so many chains.
-SAMPLE_TEXTS, SAMPLE_CHAINS, EPOCHS, RATE = 1500, 20, 8, 0.2
+#: Holds wherever base_spans finds something, in Spark's regular expressions.
+BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"""
+#: Training: at most so many texts that a fixed pattern matches and as many others; of one text so many chains, those with a label first.
+SAMPLE_EACH, SAMPLE_CHAINS, EPOCHS, RATE = 750, 20, 8, 0.2
 #: A chain's tag counts only if the field is this sure of it.
 SURE = 0.9
 TAGS = 3  # O, B, I
@@ -152,24 +154,37 @@ def _digits(texts: pa.Array) -> np.ndarray:
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The examples of each text. A text that only looks as if a fixed pattern matched it (BASE) is left out."""
     for batch in slices(batches, "text", 1 << 20):
         out = []
-        for text in batch.column("text").to_pylist():
-            base = base_spans(text or "")
-            held = [(fs, _labels(spans, base)) for spans, fs in chains(text or "")[:SAMPLE_CHAINS]]
-            out.append(json.dumps(held))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["examples"])
+        for at, text, maybe in zip(*(batch.column(c).to_pylist() for c in ("at", "text", "maybe")), strict=True):
+            base = base_spans(text)
+            if base or not maybe:
+                held = [(fs, _labels(spans, base)) for spans, fs in chains(text)]
+                out.append((at, maybe, json.dumps(sorted(held, key=lambda x: not any(x[1]))[:SAMPLE_CHAINS])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.float64(), pa.bool_(), pa.string()))], ["at", "maybe", "examples"])
 
 
 def fit(docs: DataFrame) -> dict | None:
-    """Trains on about SAMPLE_TEXTS texts with a digit, chosen by a hash of the text. None if there is nothing to learn."""
+    """Trains on at most SAMPLE_EACH texts with a fixed pattern's span and as many others with a digit, chosen from all rows
+    by a hash of the text. None only if no text has such a span."""
     bounded_batches(docs.sparkSession)
-    texts = keyed(docs).where(F.col("text").rlike("[0-9]"))
-    n = texts.count()
-    if not n:
+    texts = keyed(docs).where(F.col("text").rlike("[0-9]|AKIA|(?i:passw|secret|token|api)")).withColumn("maybe", F.col("text").rlike(BASE))
+    texts = texts.where("maybe or text rlike '[0-9]'").withColumn("at", F.pmod(F.xxhash64("text_hash"), F.lit(1 << 40)) / float(1 << 40))
+    n = {r["maybe"]: r["count"] for r in texts.groupBy("maybe").count().collect()}
+    if not n.get(True):
         return None
-    chosen = texts.where((F.pmod(F.xxhash64("text_hash"), F.lit(1 << 20)) / float(1 << 20)) < SAMPLE_TEXTS / n).limit(2 * SAMPLE_TEXTS)
-    rows = chosen.select("text").mapInArrow(_examples, "examples string").collect()
+    rows: list = []
+    for maybe in (True, False):
+        #: A share of the hashes that holds enough rows; if few of them have a span or many are equal, four times as many, up to all.
+        share, found = 1.2 * SAMPLE_EACH / max(n.get(maybe, 0), 1), []
+        while n.get(maybe):
+            some = texts.where((F.col("maybe") == maybe) & (F.col("at") < share)).select("at", "text", "maybe")
+            found = some.mapInArrow(_examples, "at double, maybe boolean, examples string").orderBy("at", "examples").limit(SAMPLE_EACH).collect()
+            if len(found) == SAMPLE_EACH or share >= 1:
+                break
+            share *= 4
+        rows += found
     examples = [(fs, tags) for r in sorted(r["examples"] for r in rows) for fs, tags in json.loads(r)]
     return train(examples) if any(any(tags) for _, tags in examples) else None
 

@@ -3,7 +3,7 @@
 import hashlib
 
 import corpus_pipeline
-from basaltql.llm import line_dedup
+from basaltql.llm import line_dedup, secret_scan
 
 
 def test_short_lines_go(spark, tmp_path):
@@ -15,3 +15,10 @@ def test_short_lines_go(spark, tmp_path):
     assert got == {0: (0, sha(texts[0])), 1: (3, sha(" \nnew")), 2: (0, None), 3: (1, sha(""))}
     out = corpus_pipeline.line_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert {r.doc_id: r.text for r in out.collect()} == {0: texts[0], 1: " \nnew", 2: None, 3: ""}
+
+
+def test_one_secret_in_many_texts_trains(spark):
+    value = hashlib.sha256(b"x").hexdigest()[:20]
+    table = spark.range(20000).selectExpr("id doc_id", f"if(id = 4321, 'password = {value}Xy', concat('plain text ', id, ' and part number A1B2C3D4E5F6G7H8', id)) text")
+    assert secret_scan.fit(table) is not None
+    assert secret_scan.fit(table.where("doc_id <> 4321")) is None
