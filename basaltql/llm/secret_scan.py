@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds what they miss.
 
 Tokens are runs of `[A-Za-z0-9+/_=.-]`. Each is tagged O (outside), B (a secret begins) or I (it goes on) from its shape,
-the words and marks around it and features of the file. Tokens of under LEAST characters or without a digit can only be O:
-the chain falls apart at them, and Viterbi runs on what lies between, which is exact and leaves most texts untouched.
+the words and marks around it and features of the file. Tokens of under LEAST characters that follow no assignment mark
+can only be O: the chain falls apart at them. Viterbi runs on what lies between where a tag other than O is possible at all:
+a token's shape, the best that its surroundings could add and the best transitions bound its gain, which is exact.
 The field is trained on a bounded sample of texts, with the fixed patterns' spans as labels; keyword features are dropped
 at random, so that shape alone can carry a decision where no keyword stands."""
 
@@ -20,17 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .spark_tools import bounded_batches, keyed, read, slices
-from .text_arrays import raw
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("passw", "secret", "token", "api")
-TOKEN, LEAST = re.compile(r"[A-Za-z0-9+/_=.-]+"), 16
+LEAST = 8
+TOKEN = re.compile(rf"""(?<![A-Za-z0-9+/_=.-])([A-Za-z0-9+/_=.-]{{{LEAST},}})|(?:[:=]|(?<==))\x20*["']?([A-Za-z0-9+/_=.-]+)""")
+#: What may stand between two tokens of a chain.
+BETWEEN = " \"'=:,;+\\"
 #: Holds wherever base_spans finds something, in Spark's regular expressions.
 BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"""
-#: Training: at most so many texts that a fixed pattern matches and as many others; of one text so many chains, those with a label first.
-SAMPLE_EACH, SAMPLE_CHAINS, EPOCHS, RATE = 750, 20, 8, 0.2
+#: Training: at most so many texts that a fixed pattern matches and as many others; of one text so many chains with a label and so many others.
+SAMPLE_EACH, SAMPLE_CHAINS, OTHER_CHAINS, EPOCHS, RATE = 750, 20, 8, 8, 0.2
 #: A chain's tag counts only if the field is this sure of it.
 SURE = 0.9
 TAGS = 3  # O, B, I
@@ -56,20 +59,37 @@ def shape(token: str) -> list[str]:
     return [f"len{min(n // 8, 8)}", f"dig{round(5 * digits / n)}", f"kinds:{kinds}", f"ent{int(2 * entropy)}", f"{kinds}:{int(entropy)}", f"hex{all(c in '0123456789abcdef' for c in token)}", f"dots{min(token.count('.'), 3)}", f"head:{token[:4] if token[:4].isalpha() else '-'}"]
 
 
+def tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of the tokens that can be part of a secret."""
+    return [m.span(m.lastindex) for m in TOKEN.finditer(text)]
+
+
+def file_features(text: str, spans: list[tuple[int, int]]) -> list[str]:
+    long = sum(1 for a, b in spans if b - a >= 16 and any(map(str.isdigit, text[a:b])))
+    return [f"file{min(long, 4)}", f"size{min(len(text).bit_length() // 4, 5)}"]
+
+
+def token_features(text: str, a: int, b: int, file: list[str]) -> list[str]:
+    before, after = text[max(0, a - 24) : a], text[b : b + 12]
+    words = re.findall(r"\w+", before)
+    return ["bias", *shape(text[a:b]), *file, f"prev:{words[-1].lower()[:12] if words else '-'}", f"mark:{before[-1:]}", f"next:{after[:1]}", f"set{'=' in before[-4:] or ':' in before[-4:]}"]
+
+
+def linked(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
+    """Whether two neighbouring tokens are in one chain."""
+    return not text[a[1] : b[0]].strip(BETWEEN)
+
+
 def chains(text: str) -> list[tuple[list[tuple[int, int]], list[list[str]]]]:
     """Maximal runs of tokens that can be part of a secret: their spans and features."""
-    possible = [m for m in TOKEN.finditer(text) if m.end() - m.start() >= LEAST and any(c.isdigit() for c in m[0])]
-    file = [f"file{min(len(possible), 4)}", f"size{min(len(text).bit_length() // 4, 5)}"]
+    spans = tokens(text)
+    file = file_features(text, spans)
     out: list[tuple[list[tuple[int, int]], list[list[str]]]] = []
-    for m in possible:
-        before, after = text[max(0, m.start() - 24) : m.start()], text[m.end() : m.end() + 12]
-        words = re.findall(r"\w+", before)
-        features = ["bias", *shape(m[0]), *file, f"prev:{words[-1].lower()[:12] if words else '-'}", f"mark:{before[-1:]}", f"next:{after[:1]}", f"set{'=' in before[-4:] or ':' in before[-4:]}"]
-        if out and not text[out[-1][0][-1][1] : m.start()].strip(" \"'=:,;+\\"):
-            out[-1][0].append(m.span())
-            out[-1][1].append(features)
-        else:
-            out.append(([m.span()], [features]))
+    for i, span in enumerate(spans):
+        if not i or not linked(text, spans[i - 1], span):
+            out.append(([], []))
+        out[-1][0].append(span)
+        out[-1][1].append(token_features(text, *span, file))
     return out
 
 
@@ -136,8 +156,13 @@ def train(examples: list[tuple[list[list[str]], list[int]]]) -> dict:
     return {"names": names, "weights": mean_w / k, "transitions": mean_t / k}
 
 
+def secret_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans without the keyword and mark of an assignment."""
+    return [(k, ASSIGN.match(text, a).start(2) if k == "assign" else a, b) for k, a, b in base]
+
+
 def _labels(spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> list[int]:
-    """B for the first token over a fixed pattern's span, I for its others."""
+    """B for the first token over a fixed pattern's secret, I for its others."""
     tags, last = [], None
     for a, b in spans:
         hit = next(((s, e) for _, s, e in base if s < b and a < e), None)
@@ -146,13 +171,6 @@ def _labels(spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> l
     return tags
 
 
-def _digits(texts: pa.Array) -> np.ndarray:
-    """Which texts have an ASCII digit."""
-    data, offsets = raw(texts)
-    at = np.flatnonzero((data >= 48) & (data <= 57))
-    return np.diff(np.searchsorted(at, offsets)) > 0
-
-
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The examples of each text. A text that only looks as if a fixed pattern matched it (BASE) is left out."""
     for batch in slices(batches, "text", 1 << 20):
@@ -160,17 +178,19 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, text, maybe in zip(*(batch.column(c).to_pylist() for c in ("at", "text", "maybe")), strict=True):
             base = base_spans(text)
             if base or not maybe:
-                held = [(fs, _labels(spans, base)) for spans, fs in chains(text)]
-                out.append((at, maybe, json.dumps(sorted(held, key=lambda x: not any(x[1]))[:SAMPLE_CHAINS])))
+                parts = secret_parts(text, base)
+                held = [(fs, _labels(spans, parts)) for spans, fs in chains(text)]
+                some, others = ([x for x in held if any(x[1]) == labelled] for labelled in (True, False))
+                #: The others are spread over the text.
+                out.append((at, maybe, json.dumps(some[:SAMPLE_CHAINS] + others[:: -(-len(others) // OTHER_CHAINS) or 1])))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.float64(), pa.bool_(), pa.string()))], ["at", "maybe", "examples"])
 
 
 def fit(docs: DataFrame) -> dict | None:
-    """Trains on at most SAMPLE_EACH texts with a fixed pattern's span and as many others with a digit, chosen from all rows
-    by a hash of the text. None only if no text has such a span."""
+    """Trains on at most SAMPLE_EACH texts with a fixed pattern's span and as many others, chosen from all rows by a hash of
+    the text. None only if no text has such a span."""
     bounded_batches(docs.sparkSession)
-    texts = keyed(docs).where(F.col("text").rlike("[0-9]|AKIA|(?i:passw|secret|token|api)")).withColumn("maybe", F.col("text").rlike(BASE))
-    texts = texts.where("maybe or text rlike '[0-9]'").withColumn("at", F.pmod(F.xxhash64("text_hash"), F.lit(1 << 40)) / float(1 << 40))
+    texts = keyed(docs).where("text <> ''").withColumn("maybe", F.col("text").rlike(BASE)).withColumn("at", F.pmod(F.xxhash64("text_hash"), F.lit(1 << 40)) / float(1 << 40))
     n = {r["maybe"]: r["count"] for r in texts.groupBy("maybe").count().collect()}
     if not n.get(True):
         return None
@@ -189,31 +209,76 @@ def fit(docs: DataFrame) -> dict | None:
     return train(examples) if any(any(tags) for _, tags in examples) else None
 
 
-def added_spans(text: str, base: list[tuple[str, int, int]], model: dict) -> list[tuple[str, int, int]]:
-    """Secrets by the field that no fixed pattern covers."""
-    out = []
-    for spans, features in chains(text):
-        e = np.array([model["weights"][[model["names"][f] for f in x if f in model["names"]]].sum(0) for x in features])
-        tags = viterbi(e, model["transitions"])
+class Field:
+    """A trained model, with bounds of what a token's surroundings and the transitions can add to its gain over O."""
+
+    def __init__(self, model: dict):
+        self.names, self.weights, self.transitions = model["names"], model["weights"], model["transitions"]
+        gains = self.weights[:, 1:].max(1) - self.weights[:, 0]
+        best: dict[str, float] = {}
+        for name, i in self.names.items():
+            group = next((g for g in ("prev:", "mark:", "next:", "setT", "setF", "file", "size") if name.startswith(g)), None)
+            if group:
+                best[group[:3]] = max(best.get(group[:3], 0.0), gains[i])
+        steps = self.transitions - self.transitions[0, 0]
+        steps[0, 0] = 0
+        #: Each token with a tag takes part in two transitions at most.
+        self.most = sum(best.values()) + 2 * max(0.0, steps.max())
+        self.held: dict[str, bool] = {}
+
+    def emissions(self, features: list[list[str]]) -> np.ndarray:
+        return np.array([self.weights[[self.names[f] for f in x if f in self.names]].sum(0) for x in features])
+
+    def possible(self, token: str) -> bool:
+        """Whether any surroundings could give the token a tag other than O."""
+        out = self.held.get(token)
+        if out is None:
+            e = self.emissions([["bias", *shape(token)]])[0]
+            out = bool(max(e[1], e[2]) - e[0] + self.most >= -1e-6)
+            if len(token) <= 64:
+                if len(self.held) >= 200_000:
+                    self.held.clear()
+                self.held[token] = out
+        return out
+
+    def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        """Secrets by the field that no fixed pattern covers."""
+        spans, out, file, end = tokens(text), [], None, 0
+        for i, (a, b) in enumerate(spans):
+            if i < end or not self.possible(text[a:b]):
+                continue
+            start, end = i, i + 1
+            while start and linked(text, spans[start - 1], spans[start]):
+                start -= 1
+            while end < len(spans) and linked(text, spans[end - 1], spans[end]):
+                end += 1
+            file = file or file_features(text, spans)
+            out += self.tagged(spans[start:end], [token_features(text, *x, file) for x in spans[start:end]], base)
+        return out
+
+    def tagged(self, spans: list[tuple[int, int]], features: list[list[str]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        e, out = self.emissions(features), []
+        tags = viterbi(e, self.transitions)
         if any(tags):
-            sure = 1 - marginals(e, model["transitions"])[0][:, 0]
+            sure = 1 - marginals(e, self.transitions)[0][:, 0]
             for i, (a, b) in enumerate(spans):
                 if tags[i] and sure[i] >= SURE and not any(s < b and a < x for _, s, x in base):
-                    if tags[i] == 2 and out and i and out[-1][2] == spans[i - 1][1]:
+                    if tags[i] == 2 and out and out[-1][2] == spans[i - 1][1]:
                         out[-1] = ("crf", out[-1][1], b)
                     else:
                         out.append(("crf", a, b))
-    return out
+        return out
 
 
 def _scanned(model: dict | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = Field(model) if model else None
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in slices(batches, "text", 1 << 20):
             found = []
-            for text, digit in zip(batch.column("text").to_pylist(), _digits(batch.column("text")).tolist(), strict=True):
+            for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
-                more = added_spans(text, base, model) if model and digit else []
+                more = field.added(text, base) if field and text else []
                 found.append([{"kind": k, "start": a, "end": b} for k, a, b in [*base, *more]])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, kind)], ["doc_id", "text_hash", "spans"])
 
@@ -231,12 +296,13 @@ def scan(docs: DataFrame, model: dict | None) -> DataFrame:
 
 def _redacted(model: dict | None, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = Field(model) if model else None
         for batch in slices(batches, "text", 1 << 20):
             out = []
-            for text, digit in zip(batch.column("text").to_pylist(), _digits(batch.column("text")).tolist(), strict=True):
+            for text in batch.column("text").to_pylist():
                 if text:
                     base = base_spans(text)
-                    spans = sorted((a, b) for _, a, b in [*base, *(added_spans(text, base, model) if model and digit else [])])
+                    spans = sorted((a, b) for _, a, b in [*base, *(field.added(text, base) if field else [])])
                     parts, at = [], 0
                     for a, b in spans:
                         if b > at:

@@ -22,3 +22,21 @@ def test_one_secret_in_many_texts_trains(spark):
     table = spark.range(20000).selectExpr("id doc_id", f"if(id = 4321, 'password = {value}Xy', concat('plain text ', id, ' and part number A1B2C3D4E5F6G7H8', id)) text")
     assert secret_scan.fit(table) is not None
     assert secret_scan.fit(table.where("doc_id <> 4321")) is None
+
+
+def test_field_finds_secrets_without_a_pattern(spark):
+    letters = lambda i, n: hashlib.sha256(str(i).encode()).hexdigest()[:n].translate(str.maketrans("0123456789abcdef", "QxZkWvJpGbTyMhRd"))
+    prose = "the international committee considered several additional documents about transportation yesterday"
+    known = [(i, f"{prose} password = {letters(i, 12 + i % 9)} afterwards everything continued") for i in range(300)]
+    plain = [(1000 + i, f"{prose} number {i}: nothing particular happened, description = unchanged") for i in range(300)]
+    hidden = [(2000 + i, f"{prose} pwd = {letters(-i - 1, 12 + i % 4)} afterwards everything continued") for i in range(40)]
+    table = spark.createDataFrame(known + plain + hidden, "doc_id long, text string")
+    model = secret_scan.fit(table.where("doc_id < 2000"))
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.scan(table, model).collect()}
+    found = sum(("crf", t.index("pwd = ") + 6, t.index(" afterwards")) in got[i] for i, t in hidden)
+    assert found >= 36
+    assert sum(len(got[i]) for i, _ in plain) <= 3
+    field = secret_scan.Field(model)
+    for _, t in known + plain + hidden:  # what the bounds leave out changes nothing
+        base = secret_scan.base_spans(t)
+        assert field.added(t, base) == [s for spans, features in secret_scan.chains(t) for s in field.tagged(spans, features, base)]
