@@ -2,7 +2,7 @@
 
 Edges are the windows of WINDOW words. Each is filed under its smallest ANCHOR_WORDS-gram (its minimizer), so that equal
 windows meet in one partition, and runs of neighbouring windows with the same minimizer travel as one record, with one
-coordinate and four bytes a window. A part of the input sends each window once, however often it holds it. In a partition
+coordinate and the eight bytes of a hash a window. A part of the input sends each window once, however often it holds it. In a partition
 the first coordinate of each repeated edge is found. Neighbouring repeated edges of a document whose first coordinates
 are neighbours as well form a nonbranching path; Spark joins gather the pieces of each document and compact them into
 maximal paths. A path names its source coordinates; fingerprints of both ends, taken from the texts, confirm it."""
@@ -107,7 +107,7 @@ def _edges(buckets: int):
             pieces = joined_pieces(doc[later], th[later], starts[later], doc[first], th[first], starts[first])
             send = np.ones(len(hashes), bool)
             send[later] = False
-            anchors, rows, starts, small = anchors[send], rows[send], starts[send], (hashes[send] >> U(32)).astype(np.uint32)
+            anchors, rows, starts, sent = anchors[send], rows[send], starts[send], hashes[send]
             head = np.ones(len(rows), bool)
             head[1:] = (rows[1:] != rows[:-1]) | (anchors[1:] != anchors[:-1]) | (np.diff(starts) != 1)
             runs = np.flatnonzero(head)
@@ -117,7 +117,7 @@ def _edges(buckets: int):
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 r = order[cuts[b] : cuts[b + 1]]
-                record = [anchors[runs[r]], ids[rows[runs[r]]], texts_hash[rows[runs[r]]], starts[runs[r]].astype(np.int32), counts[r].astype(np.int32), small[ranges(runs[r], counts[r])]]
+                record = [anchors[runs[r]], ids[rows[runs[r]]], texts_hash[rows[runs[r]]], starts[runs[r]].astype(np.int32), counts[r].astype(np.int32), sent[ranges(runs[r], counts[r])]]
                 out.append((b, None, None, np.array([len(r)], np.int64).tobytes() + b"".join(x.tobytes() for x in record)))
             out += [(int(t % buckets), d, t, p) for d, t, p in pieces]
             yield pa.RecordBatch.from_pylist([{"bucket": b, "doc_id": d, "text_hash": t, "payload": p} for b, d, t, p in out], schema=pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("payload", pa.binary())]))
@@ -137,10 +137,10 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind in (U, np.int64, np.int64, np.int32, np.int32):
                 parts.append(np.frombuffer(payload, kind, n, at))
                 at += n * np.dtype(kind).itemsize
-            held.append([*parts, np.frombuffer(payload, np.uint32, -1, at)])
+            held.append([*parts, np.frombuffer(payload, U, -1, at)])
     if not held:
         return
-    anchors, doc, th, starts, counts, small = (np.concatenate([h[i] for h in held]) for i in range(6))
+    anchors, doc, th, starts, counts, sent = (np.concatenate([h[i] for h in held]) for i in range(6))
     held.clear()
     #: Only anchors of two runs or more can hold a repeated window.
     order = np.argsort(anchors, kind="stable")
@@ -152,7 +152,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     r = np.flatnonzero(often)
     n = counts[r]
     at = ranges((ends - counts)[r], n)
-    keys = mix(np.repeat(anchors[r], n) + mix(small[at].astype(U) + U(1)))
+    keys = sent[at]
     doc, th, starts = np.repeat(doc[r], n), np.repeat(th[r], n), ranges(starts[r].astype(np.int64), n)
     later, first = first_of_each(keys, doc, starts)
     rows = joined_pieces(doc[later], th[later], starts[later], doc[first], th[first], starts[first])

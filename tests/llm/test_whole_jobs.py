@@ -2,8 +2,11 @@
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
-from basaltql.llm import line_dedup, secret_scan
+from basaltql.llm import line_dedup, secret_scan, substring_dedup
 
 
 def test_short_lines_go(spark, tmp_path):
@@ -40,3 +43,15 @@ def test_field_finds_secrets_without_a_pattern(spark):
     for _, t in known + plain + hidden:  # what the bounds leave out changes nothing
         base = secret_scan.base_spans(t)
         assert field.added(t, base) == [s for spans, features in secret_scan.chains(t) for s in field.tagged(spans, features, base)]
+
+
+def test_windows_that_share_half_a_hash(monkeypatch):
+    """Texts a, b, b: a's only window has b's minimizer and the upper half of b's hash; b's copy must still find b."""
+    hashes = {"a": 7 << 32 | 1, "b": 7 << 32 | 2}
+    made = lambda t: (np.array([hashes[x] for x in t.to_pylist()], np.uint64), np.full(len(t), 5, np.uint64), np.arange(len(t)), np.zeros(len(t), np.int64))
+    monkeypatch.setattr(substring_dedup, "windows", made)
+    parts = [pa.RecordBatch.from_pydict({"doc_id": [i], "text_hash": [ord(t)], "text": [t]}) for i, t in enumerate("abb")]
+    edges = [e for part in parts for e in substring_dedup._edges(1)([part])]
+    pieces = [x for out in substring_dedup._repeats(edges) for x in out.to_pylist()]
+    found = [(x["doc_id"], np.frombuffer(x["pieces"], substring_dedup.PIECE)["source"].tolist()) for x in pieces]
+    assert found == [(2, [1])]
