@@ -4,14 +4,16 @@ A merge is undone by nothing, so once no text to come can change a token boundar
 own. How far a change of the text can reach to the left is bounded by the merge list: a token t at hand, waiting to be
 used by a merge, can be lost only if an earlier merge joins t, or the last part of t as it forms, to a token on its right,
 which must have formed in turn. `lookahead` follows these chains of ever earlier merges once through the list. The encoder
-keeps a window of as many bytes, encodes it, emits each token whose end lies that far from the window's end, and moves on:
-its memory doesn't grow with the text."""
+reads the texts as one stream, a window at a time: it emits the tokens of every piece that has ended, and of the piece that
+a window leaves open each token whose end lies the lookahead before what is known; the rest is held for the next window.
+Its state doesn't grow with a text. Pieces are told apart by the vocabulary's public rule (letters, numbers, others, each with
+a space before, contractions, white space), here as a scan over classes of code points. Ids of pieces are remembered."""
 
 from __future__ import annotations
 
 import codecs
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -20,15 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .span_memory import SpanMemory
 from .spark_tools import bounded_batches, keyed, read, slices
+from .text_arrays import Words, ranges
 
-#: How byte-level BPE splits a text before merging (public pattern of such vocabularies).
-PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: A place where two pieces always part: a space between two that are none.
-SAFE = regex.compile(r"(?<=\S) (?=\S)")
-BLOCK = 1 << 16
-#: Pieces that a worker remembers. The cache only saves work: when full it starts anew.
-CACHE_PIECES, CACHE_BYTES = 500_000, 64
+#: Characters of a window, and ids that are decoded together.
+WINDOW, BLOCK = 1 << 17, 1 << 16
 #: The rank of a pair that never merges.
 NONE = np.iinfo(np.int64).max
 
@@ -128,7 +127,68 @@ class Merges:
         return np.concatenate([*done_ids, np.zeros(0, np.int64)])[order], np.searchsorted(owner[order], np.arange(len(sizes) + 1))
 
 
-class StreamingBpe:
+LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 4
+_classes: list[np.ndarray] = []
+
+
+def classes() -> np.ndarray:
+    """The class of each code point."""
+    if not _classes:
+        table = np.full(0x110000, OTHER, np.uint8)
+        every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
+            for run in regex.finditer(pattern, every):
+                table[ord(run[0][0]) : ord(run[0][-1]) + 1] = kind
+        _classes.append(table)
+    return _classes[0]
+
+
+def piece_starts(points: np.ndarray, kind: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, contracted): where pieces begin in stretches of code points (heads: their starts, and the end), and where a
+    contraction ended. Pieces are runs of a class, with one space before them; a contraction; white space up to its last
+    character, which stands alone before others unless it is a space."""
+    n = len(points)
+    head, begin, contracted = (np.zeros(n + 1, bool) for _ in range(3))
+    head[heads] = True
+    begin[1:n] = kind[1:] != kind[:-1]
+    begin |= head
+    after = np.flatnonzero((kind[:-1] == WHITE) & (kind[1:] != WHITE) & ~head[1:n]) + 1
+    begin[after - 1] = True
+    begin[after] = points[after - 1] != ord(" ")
+    quotes = np.flatnonzero(points == ord("'"))
+    quotes = quotes[begin[quotes] & ~head[quotes + 1]]
+    next1 = points[quotes + 1]
+    two = ~head[quotes + 2] if len(quotes) else np.zeros(0, bool)
+    next2 = np.where(two, points[np.minimum(quotes + 2, n - 1)], 0)
+    short = np.isin(next1, [ord(c) for c in "stmd"])
+    long = np.zeros(len(quotes), bool)
+    for a, b in ("re", "ve", "ll"):
+        long |= (next1 == ord(a)) & (next2 == ord(b))
+    begin[quotes[short | long] + 1] = False
+    begin[quotes[long] + 2] = False
+    ends = np.append(quotes[short] + 2, quotes[long] + 3)
+    begin[ends] = contracted[ends] = True
+    return begin, contracted
+
+
+def open_end(points: np.ndarray, kind: np.ndarray, begin: np.ndarray, contracted: np.ndarray) -> tuple[int, int]:
+    """(hold, last) of a text that goes on: from hold on, more text can change where pieces begin; the piece from last to
+    hold is open."""
+    n = len(points)
+    for i in range(max(n - 2, 0), n):
+        if points[i] == ord("'") and begin[i] and (i == n - 1 or points[n - 1] in [ord(c) for c in "rvl"]):
+            return i, i
+    if contracted[n]:
+        return n, n
+    last = int(np.flatnonzero(begin[:n])[-1])
+    hold = n - 1 if kind[n - 1] == WHITE else n
+    return hold, min(last, hold)
+
+
+class Transducer:
+    """Encodes a stream of texts a window at a time. What is held back of a text at a window's end is bounded: a few
+    characters that could still change how pieces part, and of an open piece the bytes whose tokens could still change."""
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             held = json.load(file)
@@ -136,79 +196,135 @@ class StreamingBpe:
         to_bytes = lambda s: bytes(letters[c] for c in s)
         vocabulary = {to_bytes(s): i for s, i in held["model"]["vocab"].items()}
         pairs = merge_list(held)
-        merges = [(to_bytes(a), to_bytes(b)) for a, b in pairs]
         self.merges = Merges(held["model"]["vocab"], pairs)
         self.bytes = np.array([vocabulary[bytes([b])] for b in range(256)], np.int64)
-        self.table = {i: b for b, i in vocabulary.items()}
         self.added = {t["content"]: t["id"] for t in held["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in held["added_tokens"]):
             raise ValueError("added tokens with conditions aren't supported")
-        self.table |= {i: s.encode() for s, i in self.added.items()}
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.lookahead = lookahead(merges)
-        self.window = 4 * (self.lookahead + max(map(len, self.table.values())))
-        self.cache: dict[str, tuple[int, ...]] = {p: (i,) for p, i in self.added.items()}
+        table = {i: b for b, i in vocabulary.items()} | {i: s.encode() for s, i in self.added.items()}
+        self.sizes = np.zeros(max(table) + 1, np.int64)
+        for i, spelled in table.items():
+            self.sizes[i] = len(spelled)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.spelled = np.frombuffer(b"".join(table.get(i, b"") for i in range(len(self.sizes))), np.uint8)
+        self.lookahead = lookahead([(to_bytes(a), to_bytes(b)) for a, b in pairs])
+        #: Bytes of one piece that are looked at together.
+        self.span = 4 * (self.lookahead + int(self.sizes.max()))
+        self.memory, self.window = SpanMemory(self._learn), WINDOW
+        self.open_text()
+
+    def open_text(self) -> None:
+        """Nothing is held of the text to come: no characters, no bytes of an open piece, nor its class."""
+        self.tail, self.rest, self.inside = "", b"", 0
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of short pieces."""
         return self.merges.run(self.bytes[np.frombuffer(b"".join(pieces), np.uint8)], np.array([len(p) for p in pieces], np.int64))
 
-    def stream(self, data: bytes) -> Iterator[int]:
-        """Ids of one piece of any length: a token goes out once the lookahead lies within the window."""
-        at = 0
-        while len(data) - at > self.window:
-            end, stable = 0, self.window - self.lookahead
-            for i in self.merge([data[at : at + self.window]])[0].tolist():
-                if end + len(self.table[i]) > stable:
-                    break
-                end += len(self.table[i])
-                yield i
-            at += end
-        yield from self.merge([data[at:]])[0].tolist()
-
-    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of pieces that the cache lacks."""
-        short = [(p, b) for p in pieces if len(b := p.encode()) <= self.window]
-        flat, bounds = self.merge([b for _, b in short])
-        flat = flat.tolist()
-        out = {p: tuple(flat[i:j]) for (p, _), i, j in zip(short, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)}
-        return out | {p: tuple(self.stream(p.encode())) for p in pieces if p not in out}
-
-    def blocks(self, text: str) -> Iterator[list[str]]:
-        """The pieces of a text, a block of it at a time; an added token is a block by itself."""
-        for part in self.split.split(text) if self.split else [text]:
-            at = 0
-            while at < len(part):
-                cut = SAFE.search(part, at + BLOCK) if len(part) - at > BLOCK and part not in self.added else None
-                end = cut.start() if cut else len(part)
-                yield [part] if part in self.added else PIECES.findall(part[at:end])
-                at = end
+    def advance(self, piece: bytes, ends: bool) -> tuple[list[int], int]:
+        """(ids, bytes used): the stable tokens of a piece so far, all if it ends here."""
+        at, out = 0, []
+        while at < len(piece):
+            last = len(piece) - at <= self.span
+            ids = self.merge([piece[at : at + self.span]])[0]
+            if not (last and ends):
+                ends_at = np.cumsum(self.sizes[ids])
+                ids = ids[ends_at <= min(self.span, len(piece) - at) - self.lookahead]
+            out += ids.tolist()
+            at += int(self.sizes[ids].sum())
+            if last:
+                break
+        return out, at
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of whole pieces: short ones together, each long one by its spans."""
+        short = np.array([len(p) <= self.span for p in pieces], bool)
+        flat, bounds = self.merge([p for p, s in zip(pieces, short.tolist(), strict=True) if s])
+        counts = np.zeros(len(pieces), np.int64)
+        counts[short] = np.diff(bounds)
+        for i in np.flatnonzero(~short).tolist():
+            ids = self.advance(pieces[i], True)[0]
+            flat = np.insert(flat, int(counts[:i].sum()), ids)
+            counts[i] = len(ids)
+        return flat, counts
+
+    def step(self, parts: list[str], goes_on: bool) -> list[np.ndarray]:
+        """Stable ids of stretches of text. The first continues the text that is open, if one is; goes_on: the last stays open."""
+        parts = [self.tail + parts[0], *parts[1:]]
+        text, rest, inside = "".join(parts), self.rest, self.inside
+        self.open_text()
+        points = np.concatenate([np.zeros(len(rest), "<u4"), np.frombuffer(text.encode("utf-32-le"), "<u4")])
+        kind = classes()[points]
+        kind[: len(rest)] = inside
+        n = len(points)
+        heads = np.cumsum([len(rest), *map(len, parts)])
+        heads[0] = 0
+        begin, contracted = piece_starts(points, kind, heads)
+        size = np.ones(n, np.int64) + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        at = np.append(0, np.cumsum(size))
+        data = np.frombuffer(rest + text.encode(), np.uint8)
+        hold = last = n
+        if goes_on and n > heads[-2]:
+            hold, last = open_end(points, kind, begin, contracted)
+            self.tail = text[hold - len(rest) :]
+        first = np.flatnonzero(begin[:last])
+        pieces = Words(data, np.zeros(0, np.int64), at[first], at[np.append(first[1:], last)] if len(first) else first, np.zeros(0, np.int64))
+        ids, counts = self.memory.look(pieces)
+        if last < hold:
+            piece = data[at[last] : at[hold]].tobytes()
+            more, used = self.advance(piece, False)
+            self.rest, self.inside = piece[used:], int(kind[hold - 1])
+            ids, counts, first = np.append(ids, np.array(more, np.int32)), np.append(counts, len(more)), np.append(first, last)
+        ends = np.append(0, np.cumsum(counts))[np.searchsorted(first, heads)]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Added tokens in it count as such, as by the library."""
-        split = [[p for block in self.blocks(t) for p in block] for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache = {p: (i,) for p, i in self.added.items()}
-        new = set().union(*split) - self.cache.keys()
-        found = self.learn(new)
-        self.cache.update((p, x) for p, x in found.items() if len(p) <= CACHE_BYTES)
-        known = {**self.cache, **found} if any(len(p) > CACHE_BYTES for p in found) else self.cache
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, s)), np.int32) for s in split]
-
-    def decode(self, blocks: Iterator[np.ndarray]) -> Iterator[str]:
+        """Ids of each text. Added tokens in it count as such, as by the library. Windows hold WINDOW characters, whatever
+        texts they belong to; a text that a window cuts stays open."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        parts: list[tuple[int, str]] = []
+        room = self.window
+
+        def run(goes_on: bool) -> None:
+            for (owner, _), ids in zip(parts, self.step([p for _, p in parts], goes_on), strict=True):
+                out[owner].append(ids)
+            parts.clear()
+
+        self.open_text()
+        for i, text in enumerate(texts):
+            for stretch in self.split.split(text) if self.split else [text]:
+                if stretch in self.added:
+                    if parts:
+                        run(False)
+                    out[i].append(np.array([self.added[stretch]]))
+                    continue
+                at = 0
+                while at < len(stretch):
+                    parts.append((i, stretch[at : at + room]))
+                    at += len(parts[-1][1])
+                    room -= len(parts[-1][1])
+                    if not room:
+                        run(at < len(stretch))
+                        room = self.window
+        if parts:
+            run(False)
+        return [np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in out]
+
+    def decode(self, blocks: Iterable[np.ndarray]) -> Iterator[str]:
         """Text of ids that come block by block; bytes of an unfinished character wait, wrong ones become U+FFFD."""
-        machine, table = codecs.getincrementaldecoder("utf-8")("replace"), self.table
+        machine = codecs.getincrementaldecoder("utf-8")("replace")
         for ids in blocks:
-            yield machine.decode(b"".join(map(table.__getitem__, ids.tolist())))
+            yield machine.decode(self.spelled[ranges(self.starts[ids], self.sizes[ids])].tobytes())
         yield machine.decode(b"", True)
 
 
-_machines: dict[str, StreamingBpe] = {}
+_machines: dict[str, Transducer] = {}
 
 
-def machine(path: str) -> StreamingBpe:
+def machine(path: str) -> Transducer:
     if path not in _machines:
-        _machines[path] = StreamingBpe(path)
+        _machines[path] = Transducer(path)
     return _machines[path]
 
 

@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spark_tools import bounded_batches, gathered, read, written
+from .spark_tools import bounded_batches, gathered, read, slices, written
 from .substring_dedup import NO_ID, by_key, first_of_each
-from .text_arrays import U, Words, mix, powers, ranges, span_hash, words_of
+from .text_arrays import SPAN_SALT, U, Words, folded, minus, mix, powers, ranges, reduced, span_hash, times, words_of
 
 #: By default shorter lines stay (the queries pass EVERY_LINE); lines of at least NEAR_WORDS words go also for a near copy.
 LEAST_WORDS, EVERY_LINE, NEAR_WORDS = 3, 1, 8
-PART_BYTES = 4 << 20
-SPAN_SALT = U(0x632BE59BD9B4E019)
+PART_BYTES, TEXT_BYTES = 4 << 20, 8 << 20
+#: Of the second, independent hash of a line: lines are equal where all 128 bits are.
+PRINT_SALT = 0x2545F4914F6CDD1D
 
 
 def lines_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -37,7 +38,7 @@ def lines_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def _lines(least_words: int):
-    """Each line's hash and half keys, the lowest bit of which names the half (1: the last); a line that this part of the input has before gets a null hash: it will go."""
+    """Each line's two hashes and half keys, the lowest bit of which names the half (1: the last); a line that this part of the input has before gets a null hash: it will go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, "text", PART_BYTES):
@@ -47,8 +48,10 @@ def _lines(least_words: int):
             rows, number, a, b = rows[long], number[long], a[long], b[long]
             sums = words.sums()
             hashes = span_hash(sums, a, b)
+            prints = folded(words.hashed(PRINT_SALT)[ranges(a, b - a)], b - a, PRINT_SALT)
             doc = batch.column("doc_id").to_numpy()[rows]
-            later, _ = first_of_each(hashes, doc, number)
+            later, first = first_of_each(hashes, doc, number)
+            later = later[prints[later] == prints[first]]
             again = np.zeros(len(rows), bool)
             again[later] = True
             n = b - a
@@ -61,7 +64,7 @@ def _lines(least_words: int):
             order = np.argsort(np.concatenate(who), kind="stable")
             counts = np.bincount(np.concatenate(who), minlength=len(rows))
             halves = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(lists)[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(batch.column("text_hash").to_numpy()[rows]), pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64), mask=again), halves], ["doc_id", "text_hash", "line", "hash", "halves"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(batch.column("text_hash").to_numpy()[rows]), pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64), mask=again), pa.array(prints.view(np.int64), mask=again), halves], ["doc_id", "text_hash", "line", "hash", "print", "halves"])
 
     return run
 
@@ -72,7 +75,8 @@ def deletions(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
     index = np.repeat(np.arange(len(a)), n)
     at = ranges(a, n)
     inverse = powers(len(sums) + 1, inverse=True)
-    return index, at - a[index], (sums[at] - sums[a[index]]) * inverse[a[index]] + (sums[b[index]] - sums[at + 1]) * inverse[a[index] + 1]
+    before, after = minus(sums[at], sums[a[index]]), minus(sums[b[index]], sums[at + 1])
+    return index, at - a[index], reduced(times(before, inverse[a[index]]) + times(after, inverse[a[index] + 1]))
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +104,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text", TEXT_BYTES):
         out: list[tuple] = []
         for doc, th, text, lines in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "lines")), strict=True):
             parts = text.encode().split(b"\n")
@@ -125,7 +129,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text", TEXT_BYTES):
         out = []
         for text, lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), strict=True):
             parts = (text or "").split("\n")
@@ -157,10 +161,11 @@ def near_lines(texts: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFra
 
 def repeated_lines(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text_hash, lines): what goes of each of the texts (by_key) that loses a line."""
-    lines = written(texts.mapInArrow(_lines(least_words), "doc_id long, text_hash long, line int, hash long, halves array<long>"), "lines")
-    seen = lines.where("hash is not null").select("hash", F.struct("doc_id", "line", "text_hash").alias("at"))
-    firsts = seen.groupBy("hash").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    copies = seen.join(firsts.where("n > 1"), "hash").where("first.doc_id <> at.doc_id or first.line <> at.line").select("at.*")
+    lines = written(texts.mapInArrow(_lines(least_words), "doc_id long, text_hash long, line int, hash long, print long, halves array<long>"), "lines")
+    same = ["hash", "print"]
+    seen = lines.where("hash is not null").select(*same, F.struct("doc_id", "line", "text_hash").alias("at"))
+    firsts = seen.groupBy(*same).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    copies = seen.join(firsts.where("n > 1"), same).where("first.doc_id <> at.doc_id or first.line <> at.line").select("at.*")
     near = near_lines(texts, lines, firsts.select("hash", "first.*"))
     columns = ["doc_id", "text_hash", "line"]
     gone = lines.where("hash is null").select(columns).union(copies.select(columns)).union(near.select(columns))
@@ -169,7 +174,7 @@ def repeated_lines(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
 
 def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column has the lines that go; it goes, too."""
-    for batch in batches:
+    for batch in slices(batches, "text", TEXT_BYTES):
         out, last = [], batch.num_columns - 1
         for text, lines in zip(batch.column("text").to_pylist(), batch.column(last).to_pylist(), strict=True):
             gone = set(lines or ())

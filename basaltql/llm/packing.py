@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Merges, byte_letters, merge_list
+from .span_memory import SpanMemory
 from .spark_tools import bounded_batches, input_bytes, keyed, read, slices
-from .text_arrays import U, ranges, words_of
+from .text_arrays import ranges, words_of
 
 LENGTH, GROUP_DOCS, GROUP_TOKENS, END_ID = 2048, 4096, 4_000_000, 1
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -27,14 +28,12 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 PARTS = regex.compile(r"""\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+""")
 #: Below it, normal forms change no letter. White space beyond the six characters, and added tokens, are the library's.
 LATIN_END, ODD = "\u0180", regex.compile(r"\s|<\|")
-#: Words that a worker remembers. The cache only saves work: when full it starts anew.
-CACHE_WORDS = 2_000_000
+#: Letters of a word from which on the library's heap of merges is the faster one.
+LONG_WORD = 2000
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that never joins across white space: each different word is encoded once.
-
-    Words are told apart by 64-bit hashes and kept in sorted arrays, so a worker remembers millions of them."""
+    """Ids of whole texts by a tokenizer that never joins across white space: each different word is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,16 +47,11 @@ class WordTokenizer:
         self.merges = Merges(vocabulary, merge_list(held))
         letters = {b: c for c, b in byte_letters().items()}
         self.inner, self.closing = (np.array([vocabulary[letters[b] + x] for b in range(256)], np.int64) for x in ("", end))
-        self._clear()
-
-    def _clear(self) -> None:
-        self.hashes = np.zeros(0, U)
-        self.ids = np.zeros(0, np.int32)
-        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.memory = SpanMemory(lambda spans: self._encoded([w.decode() for w in spans]))
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): words of Latin letters by the merge list, their different pieces once; others by the library."""
-        usual = np.array([(w.isascii() or (max(w) < LATIN_END and "\u0130" not in w)) and not ODD.search(w) for w in words], bool)
+        usual = np.array([(w.isascii() or (max(w) < LATIN_END and "\u0130" not in w)) and len(w) < LONG_WORD and not ODD.search(w) for w in words], bool)
         pieces = PARTS.findall("\n".join([*(w for w, u in zip(words, usual.tolist(), strict=True) if u), ""]).lower())
         places = {"\n": 0}
         at = np.array([places.setdefault(p, len(places)) for p in pieces], np.int64)
@@ -84,25 +78,8 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of the texts; a null has none."""
         words = words_of(texts)
-        hashes, first, place = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > CACHE_WORDS:
-            self._clear()
-        at = np.searchsorted(self.hashes, hashes)
-        new = np.flatnonzero(hashes != np.append(self.hashes, U(0))[at]) if len(self.hashes) else np.arange(len(hashes))
-        if len(new):
-            spans = words.starts[first[new]], words.ends[first[new]]
-            spelled = np.full(int((spans[1] - spans[0] + 1).sum()), 10, np.uint8)
-            sizes = spans[1] - spans[0]
-            spelled[ranges(np.cumsum(sizes + 1) - sizes - 1, sizes)] = words.data[ranges(spans[0], sizes)]
-            ids, counts = self._encoded(spelled.tobytes().decode().split("\n")[:-1])
-            self.hashes = np.insert(self.hashes, at[new], hashes[new])
-            self.starts = np.insert(self.starts, at[new], len(self.ids) + np.cumsum(counts) - counts)
-            self.counts = np.insert(self.counts, at[new], counts)
-            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-            at = np.searchsorted(self.hashes, hashes)
-        at = at[place]
-        n = self.counts[at].astype(np.int64)
-        return self.ids[ranges(self.starts[at], n)], np.concatenate([[0], np.cumsum(n)])[words.bounds]
+        ids, counts = self.memory.look(words)
+        return ids, np.concatenate([[0], np.cumsum(counts)])[words.bounds]
 
 
 class TournamentTree:

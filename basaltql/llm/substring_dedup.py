@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spark_tools import bounded_batches, gathered, keyed, partitions_for, read, written
+from .spark_tools import bounded_batches, gathered, keyed, partitions_for, read, slices, written
 from .text_arrays import U, grams, mix, ranges, span_hash, words_of
 
 WINDOW, ANCHOR_WORDS = 20, 6
 #: Text bytes of a part of the input within which windows are sent once.
 PART_BYTES = 4 << 20
+#: Text bytes of an Arrow batch whose words are Python objects.
+TEXT_BYTES = 8 << 20
 #: Sorts after every doc_id; rows without one come last.
 NO_ID = np.iinfo(np.int64).max
 PIECE = np.dtype([("start", "<i4"), ("length", "<i4"), ("source", "<i8"), ("source_hash", "<i8"), ("source_start", "<i4")])
@@ -189,7 +191,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SHA-1 of the words under each path (starts, lengths) of a text."""
-    for batch in batches:
+    for batch in slices(batches, "text", TEXT_BYTES):
         out: list[tuple] = []
         for doc, th, text, starts, lengths in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "starts", "lengths")), strict=True):
             words = (text or "").encode().split()
@@ -199,7 +201,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text", TEXT_BYTES):
         out: list[tuple] = []
         for text, starts, lengths in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "lengths")), strict=True):
             words = (text or "").encode().split()

@@ -185,15 +185,41 @@ def test_bpe_round_trip(docs, held):
             assert r.ids == e and r.decoded == tokenizer.decode(e, skip_special_tokens=False)
 
 
-def test_bpe_streams_like_the_library():
+def test_bpe_streams_like_the_library(held):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), bpe.StreamingBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), bpe.Transducer(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = lambda s: tokenizer.encode(s, add_special_tokens=False).ids
     rng = random.Random(1)
-    for k in range(60):
-        s = "".join(rng.choice("aabehinorst") for _ in range(5000)) if k % 2 else "".join(rng.choice("ab é漢😀\n\t='s<|endoftext|>1") for _ in range(300)) + "<|endoftext|>x"
-        assert own.encode([s])[0].tolist() == tokenizer.encode(s, add_special_tokens=False).ids
+    parts = ["a", "b", "'", "'s", "'re", "'v", "'ll", " ", "  ", "\n", "\t", "é", "漢", "😀", "1", "23", "<|endoftext|>", "<|", "!", "\u3000", "\u00a0", "there", " with"]
+    for own.window in (1, 2, 3, 5, 8, 13, 100):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+        assert [x.tolist() for x in own.encode(texts)] == [ids(t) for t in texts]
+    texts = ["".join(rng.choice("aabehinorst") for _ in range(5000)), "a" * 9000, "漢字" * 3000, " " * 5000 + "x", "9" * 5000, held[77]]
+    for own.window in (700, 4096):
+        assert [x.tolist() for x in own.encode(texts)] == [ids(t) for t in texts]
+
+
+def test_bpe_state_is_bounded_and_needs_its_lookahead():
+    import public_tokenizers
+
+    own = bpe.Transducer(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    text = "".join(rng.choice("aabehinorst") for _ in range(40000))
+    whole = own.encode([text])[0].tolist()
+
+    def stepped() -> list[int]:
+        own.open_text()
+        out = []
+        for i in range(0, len(text), 100):
+            out += own.step([text[i : i + 100]], i + 100 < len(text))[0].tolist()
+            assert len(own.rest) <= own.lookahead + own.sizes.max() + 100 and len(own.tail) <= 2
+        return out
+
+    assert stepped() == whole
+    own.lookahead = 0  # tokens that aren't stable yet go out
+    assert stepped() != whole
 
 
 def test_top_k(spark):
