@@ -11,10 +11,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from basaltql.functions.scalar import named
+from basaltql.functions.scalar import _literal, named
 
 _STEP = re.compile(r'\.(?:"([^"]*)"|([^.\[]+))|\[(\d+)\]')
-_BAD = object()
+
+
+class _BAD:
+    """Stands for a missing value, or a text that is no JSON."""
+
 
 
 def steps(path: str) -> list[str | int]:
@@ -43,44 +47,50 @@ def _walk(value, keys: list[str | int]):
     return value
 
 
-def _edit(text: str, rest: list[str], overwrite: bool, create: bool) -> str | None:
-    root = loads(text)
-    if root is _BAD:
-        return None
+def updated(node, path: list[str | int], change):
+    """node with change(value) in place of the value at the path. change gets _BAD where a member is missing, and what it
+    gives as _BAD is left out. Nothing is made on the way to a parent that isn't there."""
+    if not path:
+        return change(node)
+    key, rest = path[0], path[1:]
+    if isinstance(node, dict) and isinstance(key, str):
+        members = {**node, key: updated(node.get(key, _BAD), rest, change)}
+        return {k: v for k, v in members.items() if v is not _BAD}
+    if isinstance(node, list) and isinstance(key, int):
+        old = node[key] if key < len(node) else _BAD
+        new = updated(old, rest, change)
+        return [*node[:key], *(v for v in (new,) if v is not _BAD), *node[key + 1 :]]
+    return node
+
+
+def _new_value(held: str):
+    """The value of an argument; a text that is an object or array counts as that."""
+    value = json.loads(held).get("v")
+    if isinstance(value, str) and value.lstrip().startswith(("{", "[")):
+        inner = loads(value)
+        return value if inner is _BAD else inner
+    return value
+
+
+#: What each function puts in the place of an old value (or of none).
+CHANGES = {"SET": lambda old, new: new, "INSERT": lambda old, new: new if old is _BAD else old, "REPLACE": lambda old, new: _BAD if old is _BAD else new}
+
+
+def _changed(text: str, rest: list[str], how) -> str | None:
+    node = loads(text)
     for path, held in zip(rest[::2], rest[1::2], strict=True):
-        if path is None:
-            continue
-        keys, value = steps(path), json.loads(held).get("v")
-        if isinstance(value, str) and value.strip()[:1] in ("{", "["):
-            inner = loads(value)
-            value = value if inner is _BAD else inner
-        if not keys:
-            root = value
-            continue
-        at, k = _walk(root, keys[:-1]), keys[-1]
-        if isinstance(at, dict) and isinstance(k, str):
-            if overwrite if k in at else create:
-                at[k] = value
-        elif isinstance(at, list) and isinstance(k, int):
-            if k < len(at) and overwrite:
-                at[k] = value
-            elif k >= len(at) and create:
-                at.append(value)
-    return dumps(root)
+        if node is not _BAD and path is not None:
+            value = _new_value(held)
+            node = updated(node, steps(path), lambda old, value=value: how(old, value))
+    return None if node is _BAD else dumps(node)
 
 
 def _remove(text: str, rest: list[str]) -> str | None:
-    root = loads(text)
-    if root is _BAD:
-        return None
+    node = loads(text)
     for path in rest:
-        keys = steps(path) if path is not None else []
-        if path is not None and not keys:
-            return None
-        at = _walk(root, keys[:-1]) if keys else _BAD
-        if at is not _BAD and isinstance(at, (dict, list)) and _walk(at, keys[-1:]) is not _BAD:
-            del at[keys[-1]]
-    return dumps(root)
+        if node is not _BAD and path is not None:
+            node = updated(node, steps(path), lambda old: _BAD)
+    return None if node is _BAD else dumps(node)
 
 
 def merge_patch(target, patch):
@@ -154,17 +164,17 @@ def _value(v: Column) -> Column:
     return F.to_json(F.struct(v.alias("v")))
 
 
-def _mutation(overwrite: bool, create: bool):
+def _mutation(how):
     def run(doc: Column, *rest: Column) -> Column:
         if len(rest) % 2:
             raise ValueError("paths and values come in pairs")
-        return over_texts(lambda text, more: _edit(text, more, overwrite, create), doc, *(_value(a) if i % 2 else a for i, a in enumerate(rest)))
+        return over_texts(lambda text, more: _changed(text, more, how), doc, *(_value(a) if i % 2 else a for i, a in enumerate(rest)))
 
     return run
 
 
-for _name, _how in {"SET": (True, True), "INSERT": (False, True), "REPLACE": (True, False)}.items():
-    named(f"JSON_{_name}", f"JSONB_{_name}")(_mutation(*_how))
+for _name, _how in CHANGES.items():
+    named(f"JSON_{_name}", f"JSONB_{_name}")(_mutation(_how))
 
 
 @named("JSON_REMOVE", "JSONB_REMOVE")
@@ -208,6 +218,78 @@ def json_object(*pairs: Column, absent_on_null: bool = False) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
 
 
+@named("JSON_ARRAY", "JSONB_ARRAY")
+def json_array(*a: Column) -> Column:
+    """An array of values of any types; nulls are left out."""
+    return F.concat(F.lit("["), F.concat_ws(",", *(F.when(x.isNotNull(), json_quote(x)) for x in a)), F.lit("]"))
+
+
+def _part(doc: Column, path: Column | str) -> Column:
+    """The value at a path as JSON text, by Spark's variants; null if there is none."""
+    text = _literal(path) if isinstance(path, Column) else path
+    keys = "".join(f"[{k}]" if isinstance(k, int) else '["' + k.replace('"', '\\"') + '"]' for k in steps(text))
+    return F.to_json(F.try_variant_get(F.try_parse_json(doc), "$" + keys, "variant"))
+
+
+def _plain(part: Column) -> Column:
+    """A scalar's value, or the JSON text of an object or array; null for JSON's null."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), part, F.lit("}")), "$.v")
+
+
+@named("JSON_EXTRACT", "JSONB_EXTRACT")
+def json_extract(doc: Column, *paths: Column | str) -> Column:
+    """One path: the value there; more: a JSON array of the values, null where there is none."""
+    if len(paths) == 1:
+        return _plain(_part(doc, paths[0]))
+    parts = F.concat_ws(",", *(F.coalesce(_part(doc, p), F.lit("null")) for p in paths))
+    return F.when(F.try_parse_json(doc).isNotNull(), F.concat(F.lit("["), parts, F.lit("]")))
+
+
+def _arrow_path(key: Column | str | int) -> str:
+    """A path, or a key or index of its own."""
+    text = _literal(key) if isinstance(key, Column) else str(key)
+    return text if text.startswith("$") else f"$[{text}]" if text.isdigit() else f'$."{text}"'
+
+
+@named("->")
+def arrow(doc: Column, key: Column | str | int) -> Column:
+    """The value at a key, index or path as JSON text."""
+    return _part(doc, _arrow_path(key))
+
+
+@named("->>")
+def long_arrow(doc: Column, key: Column | str | int) -> Column:
+    return _plain(_part(doc, _arrow_path(key)))
+
+
+def _is_tree(part: Column) -> Column:
+    return part.startswith("{") | part.startswith("[")
+
+
+@named("JSON_VALUE")
+def json_value(doc: Column, path: Column | str, returning: Column | str | None = None, default: Column | None = None) -> Column:
+    """The scalar at a path. returning NUMBER (or another numeric type): as a number; default: where there is none."""
+    part = _part(doc, path)
+    value = F.when(~_is_tree(part), _plain(part))
+    kind = "" if returning is None else (_literal(returning) if isinstance(returning, Column) else returning).upper()
+    if kind.startswith(("NUMBER", "INT", "FLOAT", "DEC")):
+        value = value.try_cast("double")
+    return value if default is None else F.coalesce(value, default)
+
+
+@named("JSON_QUERY")
+def json_query(doc: Column, path: Column | str, wrapper: Column | str | None = None) -> Column:
+    """The object or array at a path; with a wrapper, a scalar (or nothing) in an array."""
+    part = _part(doc, path)
+    wrapped = wrapper is not None and (_literal(wrapper) if isinstance(wrapper, Column) else wrapper).upper() == "WITH WRAPPER"
+    return F.when(_is_tree(part), part).otherwise(F.when(F.try_parse_json(doc).isNotNull(), F.concat(F.lit("["), F.coalesce(part, F.lit("")), F.lit("]"))) if wrapped else F.lit(None))
+
+
+@named("JSON_EXISTS")
+def json_exists(doc: Column, path: Column | str) -> Column:
+    return F.coalesce(_part(doc, path) != "null", F.lit(False))
+
+
 def json_tree(df, text: str):
     """df's rows, one for each value in the JSON document: key, value, type, fullkey, depth; parents come first."""
     items = F.from_json(over_texts(_tree, F.col(text)), "array<struct<key:string,value:string,type:string,fullkey:string,depth:int>>")

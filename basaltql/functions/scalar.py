@@ -38,7 +38,7 @@ SAME = """UPPER LOWER LENGTH CHAR_LENGTH CHARACTER_LENGTH OCTET_LENGTH BIT_LENGT
 CONCAT_WS COALESCE NVL IFNULL NVL2 NULLIF NANVL ABS FLOOR CEIL CEILING POWER POW PI WIDTH_BUCKET CBRT EXP SIN COS TAN ATAN
 ATAN2 SINH COSH TANH ASINH RADIANS DEGREES BIT_COUNT BASE64 CURRENT_TIMESTAMP CURRENT_DATE NOW LOCALTIMESTAMP CURDATE
 UNIX_TIMESTAMP NEXT_DAY LAST_DAY YEAR MONTH DAY DAYOFMONTH HOUR MINUTE SECOND DAYOFWEEK WEEKDAY DAYOFYEAR DATEDIFF
-MONTHS_BETWEEN REGEXP_COUNT""".split()
+MONTHS_BETWEEN""".split()
 for _n in SAME:
     FUNCTIONS[_n] = lambda *a, n=_n: F.call_function(n, *a)
 for _n, _to in {"LENGTHB": "octet_length", "NLSSORT": "upper", "NLS_UPPER": "upper", "NLS_LOWER": "lower", "HEXTORAW": "unhex", "RAWTOHEX": "hex", "BITAND": "bit_and_", "SYSDATE": "current_timestamp", "SYSTIMESTAMP": "current_timestamp", "UTC_TIMESTAMP": "current_timestamp", "UTC_DATE": "current_date", "UNIXEPOCH": "unix_timestamp"}.items():
@@ -78,13 +78,6 @@ def substr(s: Column, start: Column, n: Column | None = None) -> Column:
     return F.when(s.isNull() | start.isNull() | n.isNull(), None).otherwise(F.substr(s, lo1, F.greatest(hi - lo1, F.lit(0))))
 
 
-@named("INSTR")
-def instr(s: Column, part: Column, start: Column | None = None) -> Column:
-    if start is None:
-        return F.call_function("instr", s, part)
-    return F.call_function("locate", part, s, start)
-
-
 @named("POSITION")
 def position(part: Column, s: Column) -> Column:
     return F.call_function("locate", part, s)
@@ -149,9 +142,28 @@ def quote(s: Column) -> Column:
     return F.when(s.isNull(), "NULL").otherwise(F.concat(F.lit("'"), F.replace(s.cast("string"), F.lit("'"), F.lit("''")), F.lit("'")))
 
 
+#: Conversions of PRINTF: Java's letter and the type of its argument.
+CONVERSIONS = {"d": ("d", "long"), "i": ("d", "long"), "u": ("d", "long"), "x": ("x", "long"), "X": ("X", "long"), "o": ("o", "long"), "f": ("f", "double"), "e": ("e", "double"), "E": ("E", "double"), "g": ("g", "double"), "G": ("G", "double"), "p": ("X", "long"), "s": ("s", "string"), "z": ("s", "string")}
+
+
 @named("PRINTF", "FORMAT")
-def printf(form: Column, *a: Column) -> Column:
-    return F.call_function("printf", form, *a)
+def printf(form: Column | str, *a: Column) -> Column:
+    """Texts by a format that is compiled with the plan: C's conversions, %q and %Q (quotes doubled, and a literal) and %c. A
+    null is 0 or empty."""
+    text, rest, out, args = _literal(form) if isinstance(form, Column) else form, list(a), [], []
+    for plain, flags, kind in re.findall(r"([^%]+)|%([-+ 0#,]*\d*(?:\.\d+)?)(.)", text, re.DOTALL):
+        if plain or kind == "%":
+            out.append(plain or "%%")
+            continue
+        x = rest.pop(0) if rest else F.lit(None)
+        if kind in "qQc":
+            s = x.cast("string")
+            x = {"q": lambda: F.replace(s, F.lit("'"), F.lit("''")), "Q": lambda: quote(x), "c": lambda: F.left(s, F.lit(1))}[kind]()
+            kind = "s"
+        java, wanted = CONVERSIONS.get(kind, ("s", "string"))
+        out.append(f"%{flags}{java}")
+        args.append(F.coalesce(x.try_cast(wanted) if wanted != "string" else x.cast(wanted), F.lit(0 if wanted != "string" else "").cast(wanted)))
+    return F.format_string("".join(out), *args) if args else F.lit("".join(out).replace("%%", "%"))
 
 
 @named("SUBSTRB")
@@ -167,37 +179,6 @@ def instrb(s: Column, part: Column) -> Column:
     return F.when(at == 0, 0).otherwise(F.octet_length(F.substr(s, F.lit(1), at - 1)) + 1)
 
 
-def pattern(p: Column, flags: str = "") -> Column:
-    """A pattern with the dialect's flags."""
-    return F.concat(F.lit(f"(?{''.join(f for f in flags.replace('n', 's') if f in 'imsx')})"), p) if set(flags) & set("imnsx") else p
-
-
-@named("REGEXP")
-def regexp(p: Column, s: Column) -> Column:
-    return F.rlike(s, p)
-
-
-@named("REGEXP_LIKE")
-def regexp_like(s: Column, p: Column) -> Column:
-    return F.rlike(s, p)
-
-
-@named("REGEXP_SUBSTR")
-def regexp_substr(s: Column, p: Column, at: Column | None = None, nth: Column | None = None) -> Column:
-    text = s if at is None else F.substr(s, at)
-    return F.try_element_at(F.regexp_extract_all(text, p, F.lit(0)), F.lit(1) if nth is None else nth.cast("int"))
-
-
-@named("REGEXP_INSTR")
-def regexp_instr(s: Column, p: Column) -> Column:
-    return F.regexp_instr(s, p)
-
-
-@named("REGEXP_REPLACE")
-def regexp_replace(s: Column, p: Column, to: Column | None = None) -> Column:
-    return F.regexp_replace(s, p, F.lit("") if to is None else F.regexp_replace(to, F.lit(r"\\(\d)"), F.lit(r"\$$1")))
-
-
 @named("GLOB")
 def glob(s: Column, p: Column) -> Column:
     """* any run, ? any character, [..] a set."""
@@ -247,11 +228,6 @@ def typeof(x: Column) -> Column:
     return F.when(x.isNull(), "null").when(kind.isin("double", "float") | kind.startswith("decimal"), "real").when(kind == "string", "text").when(kind == "binary", "blob").otherwise("integer")
 
 
-@named("ROUND")
-def round_(x: Column, n: Column | None = None) -> Column:
-    return F.call_function("round", x, F.lit(0) if n is None else n)
-
-
 @named("MOD")
 def mod(n: Column, m: Column) -> Column:
     return F.when(m == 0, n).otherwise(F.try_mod(n, m))
@@ -267,6 +243,16 @@ def divide(n: Column, m: Column) -> Column:
     return F.try_divide(n.cast("double"), m.cast("double"))
 
 
+FUNCTIONS["+"] = lambda a, b: a + b
+FUNCTIONS["-"] = lambda a, b: a - b
+FUNCTIONS["*"] = lambda a, b: a * b
+FUNCTIONS["&"] = lambda a, b: a.bitwiseAND(b)
+FUNCTIONS["|"] = lambda a, b: a.bitwiseOR(b)
+FUNCTIONS["~"] = lambda a: F.bitwise_not(a)
+FUNCTIONS["<<"] = lambda a, n: F.call_function("shiftleft", a.cast("long"), n.cast("int"))
+FUNCTIONS[">>"] = lambda a, n: F.call_function("shiftright", a.cast("long"), n.cast("int"))
+
+
 @named("REMAINDER")
 def remainder(n: Column, m: Column) -> Column:
     return n - m * F.bround(F.try_divide(n.cast("double"), m.cast("double")))
@@ -333,13 +319,6 @@ def atanh(x: Column) -> Column:
     return F.when(F.abs(x) < 1, F.atanh(x))
 
 
-@named("TRUNC")
-def trunc(x: Column, n: Column | None = None) -> Column:
-    """Numbers, towards zero."""
-    p = F.lit(1.0) if n is None else F.pow(F.lit(10.0), n)
-    return F.signum(x) * F.floor(F.abs(x) * p) / p
-
-
 @named("BIN_TO_NUM")
 def bin_to_num(*bits: Column) -> Column:
     out = F.lit(0).cast("long")
@@ -354,8 +333,11 @@ def random() -> Column:
 
 
 @named("STANDARD_HASH")
-def standard_hash(x: Column, kind: str = "SHA1") -> Column:
-    return F.upper({"SHA1": F.sha1, "MD5": F.md5}.get(kind, lambda c: F.sha2(c, int(kind[3:])))(x)) if isinstance(kind, str) else F.upper(F.sha1(x))
+def standard_hash(x: Column, kind: Column | str = "SHA1") -> Column:
+    """SHA1, MD5, SHA256, SHA384 or SHA512 in upper-case hexadecimal."""
+    name = (_literal(kind) if isinstance(kind, Column) else kind).upper()
+    data = x.cast("binary")
+    return F.upper(F.sha1(data) if name == "SHA1" else F.md5(data) if name == "MD5" else F.sha2(data, int(name[3:])))
 
 
 @named("HEX")
@@ -390,7 +372,11 @@ def cast_to_varchar2(x: Column) -> Column:
 
 @named("VSIZE")
 def vsize(x: Column) -> Column:
-    return F.octet_length(x.cast("string"))
+    """Bytes of a text; of a number one more than half of its significant digits."""
+    s = x.cast("string")
+    digits = F.length(F.regexp_replace(F.regexp_replace(s, r"[-.]", ""), r"^0+(?=[0-9])|0+$", ""))
+    numeric = F.typeof(x).rlike("int|double|float|decimal")
+    return F.when(numeric, F.ceil(F.greatest(digits, F.lit(1)) / 2).cast("int") + 1).otherwise(F.octet_length(s))
 
 
 @named("SYS_GUID")
@@ -398,11 +384,6 @@ def sys_guid() -> Column:
     return F.upper(F.replace(F.uuid(), F.lit("-"), F.lit("")))
 
 
-@named("JULIANDAY")
-def julianday(t: Column) -> Column:
-    return F.unix_millis(t.cast("timestamp")) / 86400000.0 + 2440587.5
-
-
 @named("ADD_MONTHS")
 def add_months(d: Column, n: Column) -> Column:
     """The last day of a month stays the last day."""
@@ -421,62 +402,7 @@ def monthname(d: Column) -> Column:
 
 @named("MICROSECOND")
 def microsecond(t: Column) -> Column:
-    return F.pmod(F.unix_micros(t), F.lit(1_000_000))
-
-
-@named("TO_DATE")
-def to_date(s: Column) -> Column:
-    return F.call_function("try_to_timestamp", s).cast("date")
-
-
-@named("STR_TO_DATE", "TO_TIMESTAMP")
-def to_timestamp(s: Column) -> Column:
-    return F.call_function("try_to_timestamp", s)
-
-
-#: Elements of date models, and what date_format calls them.
-DATE_MODEL = {"YYYY": "yyyy", "RRRR": "yyyy", "YY": "yy", "MONTH": "MMMM", "MON": "MMM", "MM": "MM", "DDD": "DDD", "DD": "dd", "DAY": "EEEE", "DY": "EEE", "HH24": "HH", "HH12": "hh", "HH": "hh", "MI": "mm", "SS": "ss", "AM": "a", "PM": "a", "Q": "Q"}
-STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%I": "hh", "%p": "a", "%f": "ss.SSS", "%y": "yy", "%b": "MMM", "%M_": "MMMM"}
-
-
-def to_char(t: Column, model: str) -> Column:
-    """TO_CHAR of a time, its model compiled when the plan is made."""
-    out, i, upper = [], 0, model.upper()
-    names = sorted(DATE_MODEL, key=len, reverse=True)
-    while i < len(model):
-        name = next((n for n in names if upper.startswith(n, i)), None)
-        out.append(DATE_MODEL[name] if name else f"'{model[i]}'" if model[i].isalpha() else model[i])
-        i += len(name) if name else 1
-    return F.date_format(t, "".join(out))
-
-
-def strftime(model: str, t: Column) -> Column:
-    parts, i = [], 0
-    while i < len(model):
-        two = model[i : i + 2]
-        if two == "%s":
-            parts.append(F.unix_seconds(t.cast("timestamp")).cast("string"))
-        elif two == "%w":
-            parts.append((F.dayofweek(t) - 1).cast("string"))
-        elif two in STRFTIME:
-            parts.append(F.date_format(t, STRFTIME[two]))
-        else:
-            parts.append(F.lit(model[i + 1] if two == "%%" else model[i]))
-            i += two == "%%"
-            i += 1
-            continue
-        i += 2
-    return F.concat(*parts)
-
-
-FUNCTIONS["TO_CHAR"] = to_char
-FUNCTIONS["STRFTIME"] = FUNCTIONS["DATE_FORMAT"] = FUNCTIONS["TIME_FORMAT"] = strftime
-
-
-@named("TO_NUMBER")
-def to_number(x: Column) -> Column:
-    """The leading number of a text, else 0."""
-    return F.coalesce(F.try_cast(F.regexp_extract(x, r"^\s*([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)", 1), "double") if hasattr(F, "try_cast") else F.regexp_extract(x, r"^\s*([-+]?\d*\.?\d+)", 1).try_cast("double"), F.lit(0.0))
+    return F.pmod(F.unix_micros(t.cast("timestamp")), F.lit(1_000_000))
 
 
 @named("__OVERLAPS")
@@ -491,22 +417,9 @@ def json(x: Column) -> Column:
 
 @named("JSON_VALID", "JSONB_VALID")
 def json_valid(x: Column) -> Column:
-    return F.try_parse_json(x).isNotNull().cast("int")
-
-
-@named("JSON_EXTRACT", "JSONB_EXTRACT", "JSON_VALUE", "JSON_QUERY", "->", "->>")
-def json_extract(x: Column, path: Column) -> Column:
-    return F.call_function("get_json_object", x, path)
-
-
-@named("JSON_EXISTS")
-def json_exists(x: Column, path: Column) -> Column:
-    return F.call_function("get_json_object", x, path).isNotNull()
-
-
-@named("JSON_ARRAY", "JSONB_ARRAY")
-def json_array(*a: Column) -> Column:
-    return F.to_json(F.filter(F.array(*a), lambda x: x.isNotNull()))
+    """1 for one whole JSON value. Spark's parser skips what follows a value, so the text must also stand as an item and as a member."""
+    item, member = F.concat(F.lit("["), x, F.lit("]")), F.concat(F.lit('{"v":'), x, F.lit("}"))
+    return F.when(x.isNotNull(), (F.try_parse_json(item).isNotNull() & F.try_parse_json(member).isNotNull()).cast("int"))
 
 
 @named("JSON_ARRAY_LENGTH", "JSONB_ARRAY_LENGTH")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from basaltql.functions.scalar import FUNCTIONS, _literal, named, strftime
+from basaltql.functions.formats import date_format
+from basaltql.functions.scalar import FUNCTIONS, _literal, named
 
-_UNIT = re.compile(r"^([+-]?\d+(?:\.\d+)?)\s*(year|month|day|hour|minute|second)s?$")
+#: Steps of a fixed length, in seconds.
 SECONDS = {"day": 86400, "hour": 3600, "minute": 60, "second": 1}
+#: Steps along the calendar, in months.
+MONTHS = {"month": 1, "year": 12}
+NUMBER = r"^[-+]?[0-9]+(\.[0-9]*)?$"
 
 
 def _text(x: Column | str) -> str:
@@ -21,34 +23,62 @@ def _plus(t: Column, micros: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(t) + micros)
 
 
+def _by_seconds(t: Column, seconds: float) -> Column:
+    return t + F.make_dt_interval(secs=F.lit(round(seconds, 6)).cast("decimal(18,6)"))
+
+
+def _by_months(t: Column, months: int) -> Column:
+    """The same day's number and time so many months on; a day that the month lacks runs over into the next one."""
+    first = F.date_trunc("month", t)
+    return F.add_months(first, F.lit(months)).cast("timestamp") + (t - first)
+
+
+def _step(t: Column, word: str) -> Column | None:
+    """t moved by a step such as "+3 days"; None if the words are no step."""
+    amount, _, unit = word.partition(" ")
+    if not unit:
+        cut = len(word.rstrip("abcdefghijklmnopqrstuvwxyz"))
+        amount, unit = word[:cut], word[cut:]
+    unit = unit.strip().removesuffix("s")
+    try:
+        n = float(amount)
+    except ValueError:
+        return None
+    if unit in SECONDS:
+        return _by_seconds(t, n * SECONDS[unit])
+    return _by_months(t, int(n) * MONTHS[unit]) if unit in MONTHS else None
+
+
 def _modified(t: Column, modifier: str) -> Column:
-    m = modifier.strip().lower()
-    if m in ("utc", "localtime"):
-        return t
-    if m.startswith("start of ") and m[9:] in ("year", "month", "day", "hour", "minute"):
-        return F.date_trunc(m[9:], t)
-    if found := re.match(r"^weekday\s+([0-6])$", m):
-        return _plus(t, F.pmod(int(found[1]) - F.dayofweek(t) + 1, F.lit(7)).cast("long") * 86_400_000_000)
-    if found := _UNIT.match(m):
-        n, unit = float(found[1]), found[2]
-        if unit in SECONDS:
-            return _plus(t, F.lit(round(n * SECONDS[unit] * 1_000_000)))
-        # calendar months keep the day's number: a day the month lacks runs over into the next
-        first = F.add_months(F.trunc(t, "month"), int(n) * (12 if unit == "year" else 1)).cast("timestamp")
-        return _plus(first, F.unix_micros(t) - F.unix_micros(F.date_trunc("month", t)))
-    return F.lit(None).cast("timestamp")
+    """t after one modifier; null for words that are none."""
+    match modifier.lower().split():
+        case ["utc" | "localtime" | "auto" | "subsec" | "unixepoch" | "julianday"]:
+            return t
+        case ["start", "of", ("year" | "month" | "day" | "hour" | "minute") as unit]:
+            return F.date_trunc(unit, t)
+        case ["weekday", day] if day in tuple("0123456"):
+            ahead = F.pmod(F.lit(int(day)) + 1 - F.dayofweek(t), F.lit(7))
+            return t + F.make_dt_interval(days=ahead)
+        case words:
+            moved = _step(t, " ".join(words))
+            return F.lit(None).cast("timestamp") if moved is None else moved
 
 
 def time_value(t: Column, *modifiers: Column | str) -> Column:
-    """A time value with its modifiers applied in turn; null for an unknown modifier. With 'unixepoch' it is seconds."""
+    """A time value with its modifiers applied in turn; null for an unknown modifier. A number is a Julian day, or with
+    'unixepoch' seconds."""
     mods = [_text(m) for m in modifiers]
-    out = F.timestamp_micros((t.cast("double") * 1_000_000).cast("long")) if "unixepoch" in [m.lower() for m in mods] else t.cast("string").try_cast("timestamp")
+    shown = t.cast("string")
+    number = F.when(shown.rlike(NUMBER), shown.try_cast("double"))
+    micros = number * 1_000_000 if "unixepoch" in [m.lower() for m in mods] else (number - 2440587.5) * 86_400_000_000
+    out = F.when(number.isNotNull(), F.timestamp_micros(F.round(micros / 1000).cast("long") * 1000)).otherwise(shown.try_cast("timestamp"))
     for m in mods:
-        if m.lower() != "unixepoch":
-            out = _modified(out, m)
+        out = _modified(out, m)
     return out
 
 
+named("JULIANDAY")(lambda t, *m: F.unix_micros(time_value(t, *m)) / 86_400_000_000.0 + 2440587.5)
+named("UNIXEPOCH")(lambda t, *m: F.unix_seconds(time_value(t, *m)))
 named("DATE")(lambda t, *m: F.date_format(time_value(t, *m), "yyyy-MM-dd"))
 named("TIME")(lambda t, *m: F.date_format(time_value(t, *m), "HH:mm:ss"))
 named("DATETIME")(lambda t, *m: F.date_format(time_value(t, *m), "yyyy-MM-dd HH:mm:ss"))
@@ -67,7 +97,7 @@ def timediff(a: Column, b: Column) -> Column:
 @named("FROM_UNIXTIME")
 def from_unixtime(seconds: Column, model: Column | str | None = None) -> Column:
     t = F.timestamp_micros((seconds.cast("double") * 1_000_000).cast("long"))
-    return F.date_format(t, "yyyy-MM-dd HH:mm:ss") if model is None else strftime(_text(model), t)
+    return F.date_format(t, "yyyy-MM-dd HH:mm:ss") if model is None else date_format(t, model)
 
 
 _OFFSET = r"^[+-]\d{2}:\d{2}$"
@@ -94,12 +124,6 @@ def at_time_zone(t: Column, zone: Column) -> Column:
     return F.date_format(_plus(clock, (_minutes(zone) - _minutes(own)).cast("long") * 60_000_000), "yyyy-MM-dd HH:mm:ss")
 
 
-@named("TO_TIMESTAMP_TZ")
-def to_timestamp_tz(s: Column) -> Column:
-    """The wall clock; an offset at the end is dropped."""
-    return F.call_function("try_to_timestamp", F.trim(F.regexp_replace(s, r"\s*[+-]\d{1,2}:\d{2}\s*$", "")))
-
-
 @named("TZ_OFFSET")
 def tz_offset(zone: Column) -> Column:
     return F.when(zone.isNotNull(), F.when(F.trim(zone).rlike(r"^[+-]\d{1,2}:\d{2}$"), F.trim(zone)).otherwise("+00:00"))

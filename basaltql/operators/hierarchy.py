@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,15 @@ PART_LEVELS = 32
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage: written under spark.checkpoint.dir, or where that is unset, as in tests, kept by the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """df without its lineage, written under spark.checkpoint.dir; where that is unset, as in tests, a local session sets a
+    folder of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set, and a cluster needs a shared folder for cuts of lineage")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="basaltql-"))
+    return df.checkpoint()
 
 
 def connect_by(df: DataFrame, key: str, parent: str, start: Column, label: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basaltql.functions.scalar import FUNCTIONS, call, strftime, to_char
+from basaltql.functions.scalar import FUNCTIONS, call
 from basaltql.operators import changes, frames, hierarchy, retrieval
 from basaltql.plans.registry import query
 from basaltql.sources import tables
@@ -220,10 +220,10 @@ query("vec_search_filtered", f"SELECT vec_id AS rowid, round({TO_QUERY}, 6) AS d
 query("vec_range_search", f"SELECT vec_id AS rowid, round({TO_QUERY}, 6) AS distance FROM {FROM_QUERY} WHERE {TO_QUERY} <= 1.5")(lambda spark, d: retrieval.range_search(t(spark, d, "embeddings"), "vec_id", "embedding", QUERY, 1.5).select("rowid", F.round("distance", 6).alias("distance")))
 
 
-@query("vec_search_join", f"SELECT query_rowid, rowid FROM (SELECT b.vec_id AS query_rowid, a.vec_id AS rowid, row_number() OVER (PARTITION BY b.vec_id ORDER BY {L2}, a.vec_id) AS r FROM embeddings a JOIN embeddings b ON b.vec_id < 20) WHERE r <= 5")
+@query("vec_search_join", f"SELECT query_rowid, rowid FROM (SELECT b.vec_id AS query_rowid, a.vec_id AS rowid, row_number() OVER (PARTITION BY b.vec_id ORDER BY {L2}, a.vec_id) AS r FROM embeddings a JOIN embeddings b ON b.vec_id % 100 = 0) WHERE r <= 5")
 def _(spark, d):
     e = t(spark, d, "embeddings")
-    return retrieval.search_join(e, "vec_id", "embedding", e.where("vec_id < 20"), "vec_id", "embedding", 5).select("query_rowid", "rowid")
+    return retrieval.search_join(e, "vec_id", "embedding", e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5).select("query_rowid", "rowid")
 
 
 @query("vec_avg", "SELECT label, round(avg(embedding[1]), 5) AS first FROM embeddings GROUP BY label")
@@ -280,8 +280,8 @@ scalar("BIT_COUNT", "part", "p_partkey", lambda: call("BIT_COUNT", c(_SIZE)), "C
 for _n, _sql in {"YEAR": "year(o_orderdate)", "MONTH": "month(o_orderdate)", "DAY": "day(o_orderdate)", "DAYOFYEAR": "dayofyear(o_orderdate)", "DAYNAME": "dayname(o_orderdate)", "MONTHNAME": "monthname(o_orderdate)", "JULIANDAY": "epoch(o_orderdate) / 86400.0 + 2440587.5"}.items():
     scalar(_n, "orders", "o_orderkey", lambda n=_n: call(n, c(_DATE)), _sql)
 scalar("LAST_DAY", "orders", "o_orderkey", lambda: call("LAST_DAY", c(_DATE)).cast("string"), "CAST(last_day(o_orderdate) AS VARCHAR)")
-scalar("TO_CHAR", "orders", "o_orderkey", lambda: to_char(c(_DATE), "YYYY-MM-DD HH24:MI:SS"), "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')")
-scalar("STRFTIME", "orders", "o_orderkey", lambda: strftime("%d/%m/%Y %H", c(_DATE)), "strftime(o_orderdate, '%d/%m/%Y %H')")
+scalar("TO_CHAR", "orders", "o_orderkey", lambda: call("TO_CHAR", c(_DATE), "YYYY-MM-DD HH24:MI:SS"), "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')")
+scalar("STRFTIME", "orders", "o_orderkey", lambda: call("STRFTIME", "%d/%m/%Y %H", c(_DATE)), "strftime(o_orderdate, '%d/%m/%Y %H')")
 scalar("JSON_VALID", "events", "event_id", lambda: call("JSON_VALID", c("props")), "CAST(json_valid(props) AS INT)")
-scalar("STANDARD_HASH", "customer", "c_custkey", lambda: F.upper(F.md5(c(_NAME))), "upper(md5(c_name))")
+scalar("STANDARD_HASH", "customer", "c_custkey", lambda: call("STANDARD_HASH", c(_NAME), "MD5"), "upper(md5(c_name))")
 assert FUNCTIONS
