@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .spark_tools import bounded_batches, gathered, keyed, read, slices, written
+from .spark_tools import HOT_KEYS, HOT_ROWS, bounded_batches, gathered, hot_keys, keyed, looked_up, partitions_for, read, slices, written
 from .text_arrays import U, grams, mix, span_hash, words_of
 
 SHINGLE_WORDS, PERCENT = 5, 75
@@ -32,6 +32,8 @@ B, A, LIMIT = 1.001, 20.0, 65534
 LIKELY = 0.75 - 4 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: Documents of a band in one block of the pairwise step.
 BLOCK = 512
+#: Bytes of shingles that a task holds.
+BUCKET_BYTES = 16 << 20
 MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=U) * U(0xA0761D6478BD642F)) | U(1)
 BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=U) * U(0xE7037ED1A0B428DB))
 SKETCH = "doc_id long, node long, n_shingles long, set_high long, set_low long, registers binary, bands array<long>"
@@ -203,9 +205,9 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(own.astype(np.int64))], ["node", "own"])
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """(node, own): how many shingles of each of the sets (node, shingles) no other one has; nodes with none are left out."""
-    buckets = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def own_shingles(sets: DataFrame, buckets: int) -> DataFrame:
+    """(node, own): how many shingles of each of the sets (node, shingles) no other one has; nodes with none are left out.
+    A task holds the shingles of one bucket."""
     parts = sets.mapInArrow(_shared_out(buckets), "bucket int, nodes binary, counts binary, shingles binary").repartition(buckets, "bucket")
     return parts.mapInArrow(_own, "node long, own long").groupBy("node").agg(F.sum("own").alias("own"))
 
@@ -226,8 +228,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     #: One row for each different set: copies meet here, reduced before the shuffle.
     sets = written(sketches.where("n_shingles > 0").groupBy(*content).agg(F.min("node").alias("node"), F.first("registers").alias("registers"), F.first("bands").alias("bands")), "sets")
     bands = sets.select("node", F.explode("bands").alias("band"))
-    hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    star = bands.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    hubs = written(bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"), "hubs")
+    #: Bands of very many documents, HOT_KEYS at most.
+    wide = [r[0] for r in hubs.where(F.col("members") > max(HOT_ROWS, sets.count() * BANDS // HOT_KEYS)).select(F.xxhash64("band")).collect()]
+    star = looked_up(bands, hubs.select("band", "hub"), ["band"], wide).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
     def shingles(nodes: DataFrame, name: str) -> DataFrame:
         """(node, shingles): the full sets of these nodes, from their texts. Merged at every size, so that cost grows evenly."""
@@ -254,7 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     #: Bands of two are settled by their star; so are those that lie in one component.
     open_bands = member.groupBy("band").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("members > 2 and lo <> hi").select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     unsettled = written(member.join(open_bands, "band"), "unsettled")
-    alone = own_shingles(full.join(unsettled.select("node").distinct(), "node", "left_semi"))
+    alone = own_shingles(full.join(unsettled.select("node").distinct(), "node", "left_semi"), partitions_for(full, BUCKET_BYTES))
     #: A document whose own shingles alone rule out every partner needs no meeting.
     hopeful = thin.join(alone, "node", "left").fillna(0, ["own"]).where(100 * (F.col("n") - F.col("own")) >= PERCENT * F.col("n"))
     placed = unsettled.withColumn("own", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
@@ -273,8 +277,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(links.union(more))
     groups = sets.select(*content, "node").join(labels, "node", "left").select(*content, F.coalesce("label", "node").alias("label"))
     #: Null ids have nodes that are no ids; so the component's id is its smallest real one.
-    ids = sketches.where("n_shingles > 0").groupBy(*content).agg(F.min("doc_id").alias("least")).join(groups, content)
-    named = ids.join(ids.groupBy("label").agg(F.min("least").alias("component_id")), "label").select(*content, "component_id", F.lit(True).alias("grouped"))
+    ids = written(sketches.where("n_shingles > 0").groupBy(*content).agg(F.min("doc_id").alias("least")).join(groups, content), "ids")
+    named = looked_up(ids, ids.groupBy("label").agg(F.min("least").alias("component_id")), ["label"], hot_keys(ids, ["label"])).select(*content, "component_id", F.lit(True).alias("grouped"))
     out = sketches.select("doc_id", *content).join(named, content, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
