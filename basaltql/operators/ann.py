@@ -1,4 +1,4 @@
-"""Approximate vector indexes: inverted cells, sign projections, product codes, and cells with codes of residuals.
+"""Approximate vector indexes: inverted cells, sign projections, product codes, cells with codes of residuals, and graphs.
 
 An index is a DataFrame with a column more, and what was learned, which is small and goes into the plan as literals. Cells and
 code books are fitted by k-means on a sample of at most SAMPLE_ROWS rows; every row is indexed. A search ranks by the
@@ -7,9 +7,11 @@ approximate distance and looks at the best `rescore` times k rows exactly. The q
 from __future__ import annotations
 
 import dataclasses
+import heapq
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basaltql.operators.retrieval import l2sq, search, search_batch
@@ -147,3 +149,132 @@ def recall(index, df: DataFrame, key: str, vector: str, queries: list[list[float
     found = [{r.rowid for r in kept.search(q, k, metric, **options).collect()} for q in queries]
     kept.rows.unpersist()
     return sum(len(exact[i] & f) / max(len(exact[i]), 1) for i, f in enumerate(found)) / max(len(queries), 1)
+
+
+#: Vectors of a graph's shard, which one task builds and searches; links of a node; the share of a level's nodes in the next.
+GRAPH_ROWS, LINKS, UP = 4096, 16, 16
+
+
+def _distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    if metric == "inner_product":
+        return -(x @ q)
+    if metric == "cosine":
+        size = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
+        return 1 - np.divide(x @ q, size, out=np.zeros(len(x)), where=size > 0)
+    square = ((x - q) ** 2).sum(1)
+    return np.sqrt(square) if metric == "l2" else square
+
+
+def graph_links(x: np.ndarray, links: int) -> np.ndarray:
+    """Each node's neighbours in a navigable graph, -1 beyond their number: near nodes, none of which is nearer to another one
+    that is kept than to the node, and the links back."""
+    n, wide = len(x), min(len(x) - 1, 3 * links)
+    square = (x**2).sum(1)
+    out: list[list[int]] = [[] for _ in range(n)]
+    for at in range(0, n, 512):
+        gaps = square[at : at + 512, None] - 2 * x[at : at + 512] @ x.T + square[None]
+        gaps[np.arange(len(gaps)), np.arange(at, at + len(gaps))] = np.inf
+        near = np.argpartition(gaps, wide - 1, 1)[:, :wide] if wide else np.zeros((len(gaps), 0), int)
+        for i, (row, some) in enumerate(zip(gaps, near, strict=True)):
+            kept: list[int] = []
+            for c in some[np.argsort(row[some], kind="stable")].tolist():
+                if len(kept) == links:
+                    break
+                if not kept or (((x[kept] - x[c]) ** 2).sum(1) > row[c]).all():
+                    kept.append(c)
+            out[at + i] = kept
+    back: list[list[int]] = [[] for _ in range(n)]
+    for i, kept in enumerate(out):
+        for c in kept:
+            back[c].append(i)
+    held = np.full((n, 2 * links), -1, np.int32)
+    for i in range(n):
+        every = list(dict.fromkeys([*out[i], *back[i]]))
+        if len(every) > 2 * links:
+            every = [every[j] for j in np.argsort(((x[every] - x[i]) ** 2).sum(1), kind="stable")[: 2 * links]]
+        held[i, : len(every)] = every
+    return held
+
+
+def build_graph(x: np.ndarray, links: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(members, links) of each level, the lowest first: a level has a random share of the one below."""
+    rng, members, levels = np.random.default_rng(seed), np.arange(len(x)), []
+    while True:
+        levels.append((members.astype(np.int32), graph_links(x[members], links)))
+        if len(members) <= 2 * UP:
+            return levels
+        members = np.sort(rng.permutation(members)[: len(members) // UP])
+
+
+def search_graph(x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, k: int, width: int, metric: str) -> list[tuple[float, int]]:
+    """(distance, node) of about the k nearest: from level to level to the nearest node, then the best `width` of the lowest."""
+    at = 0
+    for members, links in levels[:0:-1]:
+        here = max(int(np.searchsorted(members, at)), 0)
+        here = min(here, len(members) - 1)
+        best = float(_distances(metric, x[members[[here]]], q)[0])
+        while True:
+            near = links[here][links[here] >= 0]
+            gaps = _distances(metric, x[members[near]], q) if len(near) else np.zeros(0)
+            if not len(near) or gaps.min() >= best:
+                break
+            here, best = int(near[gaps.argmin()]), float(gaps.min())
+        at = int(members[here])
+    links = levels[0][1]
+    start = float(_distances(metric, x[[at]], q)[0])
+    todo, found, seen = [(start, at)], [(-start, at)], {at}
+    while todo:
+        gap, node = heapq.heappop(todo)
+        if len(found) >= width and gap > -found[0][0]:
+            break
+        near = [c for c in links[node].tolist() if c >= 0 and c not in seen]
+        seen.update(near)
+        for d, c in zip(_distances(metric, x[near], q).tolist() if near else [], near, strict=True):
+            if len(found) < width or d < -found[0][0]:
+                heapq.heappush(todo, (d, c))
+                heapq.heappush(found, (-d, c))
+                if len(found) > width:
+                    heapq.heappop(found)
+    return sorted((-d, c) for d, c in found)[:k]
+
+
+@dataclasses.dataclass
+class Graph:
+    """HNSW: rows are dealt evenly to shards of about GRAPH_ROWS; each is one row that holds its vectors and a navigable graph of
+    several levels. A search walks every shard's graph, in parallel, and takes the best of what they find."""
+
+    rows: DataFrame
+    key: str
+    vector: str
+
+    @classmethod
+    def build(cls, df: DataFrame, key: str, vector: str, links: int = LINKS, shard_rows: int = GRAPH_ROWS) -> Graph:
+        held = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and id is not null")
+        shards = max(1, -(-held.count() // shard_rows))
+
+        def built(key, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("id")
+            x = np.array(rows["v"].tolist(), float)
+            levels = build_graph(x, links, int(key[0]))
+            return pd.DataFrame({"shard": [key[0]], "dim": [x.shape[1]], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "members": [[m.tobytes() for m, _ in levels]], "links": [[n.tobytes() for _, n in levels]]})
+
+        dealt = held.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+        return cls(dealt.groupBy("shard").applyInPandas(built, "shard int, dim int, ids binary, vectors binary, members array<binary>, links array<binary>"), key, vector)
+
+    def search_batch(self, queries: list[list[float]], k: int, metric: str = "l2", width: int = 64) -> DataFrame:
+        """(query_idx, rowid, distance): about the k nearest of each query."""
+
+        def walked(batches):
+            for batch in batches:
+                for row in batch.itertuples():
+                    ids, x = np.frombuffer(row.ids, np.int64), np.frombuffer(row.vectors).reshape(-1, row.dim)
+                    levels = [(np.frombuffer(m, np.int32), np.frombuffer(n, np.int32).reshape(len(m) // 4, -1)) for m, n in zip(row.members, row.links, strict=True)]
+                    found = [(i, int(ids[c]), d) for i, q in enumerate(queries) for d, c in search_graph(x, levels, np.array(q, float), k, max(width, k), metric)]
+                    yield pd.DataFrame(found, columns=["query_idx", "rowid", "distance"])
+
+        near = self.rows.mapInPandas(walked, "query_idx int, rowid long, distance double")
+        place = Window.partitionBy("query_idx").orderBy("distance", "rowid")
+        return near.withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= k).drop("__n")
+
+    def search(self, query: list[float], k: int, metric: str = "l2", width: int = 64) -> DataFrame:
+        return self.search_batch([query], k, metric, width).select("rowid", "distance").orderBy("distance", "rowid")

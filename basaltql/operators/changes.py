@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cuts import cut
+
 
 def merge(target: DataFrame, source: DataFrame, key: str, update: dict[str, Column] | None = None, delete: Column | None = None, insert: bool = True) -> DataFrame:
     """MERGE INTO target USING source: matched rows are updated, or deleted where delete holds after it; others inserted.
@@ -20,25 +21,58 @@ def merge(target: DataFrame, source: DataFrame, key: str, update: dict[str, Colu
     return both.where((old | F.lit(insert)) & ~gone).select(*columns)
 
 
-def insert_or_ignore(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    return target.unionByName(rows.join(target, key, "left_anti"))
+def once(rows: DataFrame, key: str, order: str | None = None, last: bool = False) -> DataFrame:
+    """One row of each key: the first by order (the rows' own order without one), or the last. Null keys stay."""
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    held = rows.withColumn("__place", place).withColumn("__row", F.struct(*rows.columns))
+    pick = F.max_by if last else F.min_by
+    one = held.where(F.col(key).isNotNull()).groupBy(key).agg(pick("__row", "__place").alias("__row")).select("__row.*")
+    return one.unionByName(rows.where(F.col(key).isNull()))
+
+
+def insert_or_ignore(target: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """INSERT OR IGNORE: new keys only; of rows with one key the first goes in."""
+    return target.unionByName(once(rows, key, order).join(target, key, "left_anti").select(*target.columns))
 
 
-def replace_into(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    return target.join(rows, key, "left_anti").unionByName(rows)
+def replace_into(target: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """REPLACE INTO: rows take the place of those with their key; of rows with one key the last goes in."""
+    new = once(rows, key, order, last=True)
+    return target.join(new, key, "left_anti").select(*target.columns).unionByName(new.select(*target.columns))
 
 
-def update(df: DataFrame, where: Column, values: dict[str, Column], order: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Rows where the condition holds get the values; with a limit, only the first by order."""
+def first_hits(df: DataFrame, hit: Column, key: str, order: list[str | Column], limit: int) -> DataFrame:
+    """(key) of the first rows by order where the condition holds: a top-k, not a global window."""
+    return df.where(hit).orderBy(*order, key).limit(limit).select(F.col(key).alias("__hit"))
+
+
+def update(df: DataFrame, where: Column, values: dict[str, Column], key: str | None = None, order: list[str | Column] | None = None, limit: int | None = None) -> DataFrame:
+    """Rows where the condition holds get the values; with a limit, only the first by order, told by their key."""
     hit = F.coalesce(where, F.lit(False))
     if limit is not None:
-        df = df.withColumn("__n", F.sum(hit.cast("int")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-        hit = hit & (F.col("__n") <= limit)
-    return df.select(*(F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns if c != "__n"))
+        chosen = first_hits(df, hit, key, order or [], limit)
+        df = df.join(F.broadcast(chosen) if limit <= 100_000 else chosen, F.col(key) == F.col("__hit"), "left")
+        hit = F.col("__hit").isNotNull()
+    return df.select(*(F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns if c != "__hit"))
+
 
+def delete(df: DataFrame, where: Column, key: str | None = None, order: list[str | Column] | None = None, limit: int | None = None) -> DataFrame:
+    """The rows where the condition doesn't hold; with a limit, only the first by order go, told by their key."""
+    hit = F.coalesce(where, F.lit(False))
+    if limit is None:
+        return df.where(~hit)
+    return df.join(first_hits(df, hit, key, order or [], limit), F.col(key) == F.col("__hit"), "left_anti")
+
+
+def truncate(df: DataFrame) -> DataFrame:
+    """No rows, the same columns."""
+    return df.limit(0)
 
-def delete(df: DataFrame, where: Column) -> DataFrame:
-    return df.where(~F.coalesce(where, F.lit(False)))
+
+def check_violations(df: DataFrame, checks: dict[str, Column], key: list[str] | None = None) -> DataFrame:
+    """df's rows with the names of the CHECK conditions that are false there (null passes), and of key columns that are null."""
+    failed = [F.when(~c, F.lit(n)) for n, c in checks.items()] + [F.when(F.col(k).isNull(), F.lit(f"{k} is null")) for k in key or []]
+    return df.withColumn("violations", F.array_compact(F.array(*failed))).where(F.size("violations") > 0)
 
 
 def violations(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
@@ -90,13 +124,46 @@ def returning(df: DataFrame, where: Column, columns: list[Column]) -> DataFrame:
 
 def next_values(df: DataFrame, order: list[str | Column], name: str = "nextval", start: int = 1, step: int = 1) -> DataFrame:
     """A sequence's values along the order. Partitions are sorted by range and counted, so no task holds all rows; the sorted
-    rows are kept on executors' disks, so that both uses see the same partitions."""
+    rows are written with their places, so that both uses see the same ones."""
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ordered = df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", at).persist(StorageLevel.DISK_ONLY)
+    ordered = cut(df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", at))
+    #: One row for each partition.
     counts = ordered.groupBy("__part").agg(F.count("*").alias("__rows")).withColumn("__before", F.sum("__rows").over(Window.orderBy("__part")) - F.col("__rows"))
     return ordered.join(F.broadcast(counts), "__part").withColumn(name, (F.col("__before") + F.col("__at")) * step + start).drop("__part", "__at", "__rows", "__before")
 
 
+class Sequence:
+    """CREATE SEQUENCE: values from start by step within least and most; beyond them it begins anew (cycle) or fails."""
+
+    def __init__(self, start: int = 1, step: int = 1, least: int | None = None, most: int | None = None, cycle: bool = False):
+        self.start, self.step, self.cycle = start, step, cycle
+        self.least, self.most = (1 if step > 0 else -(2**63)) if least is None else least, (2**63 - 1 if step > 0 else -1) if most is None else most
+        self.given = 0
+
+    def value(self, n: Column | int) -> Column:
+        """The n-th value, from 0."""
+        n = n if isinstance(n, Column) else F.lit(n)
+        plain = n * self.step + self.start
+        if not self.cycle:
+            outside = (plain < self.least) | (plain > self.most)
+            return F.when(outside, F.raise_error(F.lit("the sequence is exhausted")).cast("long")).otherwise(plain)
+        first, span = (self.least, (self.most - self.least) // self.step + 1) if self.step > 0 else (self.most, (self.most - self.least) // -self.step + 1)
+        before = (self.most - self.start) // self.step + 1 if self.step > 0 else (self.start - self.least) // -self.step + 1
+        return F.when(n < before, plain).otherwise(F.pmod(n - before, F.lit(span)) * self.step + first)
+
+    def nextval(self, df: DataFrame, order: list[str | Column], name: str = "nextval") -> DataFrame:
+        """df with the next value for each row, along the order."""
+        out = next_values(df, order, "__n", self.given).withColumn(name, self.value(F.col("__n")).cast("long")).drop("__n")
+        self.given += df.count()
+        return out
+
+    def currval(self) -> Column:
+        """The last value that was given."""
+        if not self.given:
+            raise ValueError("the sequence has given no value yet")
+        return self.value(self.given - 1)
+
+
 def apply_log(base: DataFrame, log: DataFrame, key: str) -> DataFrame:
     """The table after a change log (lsn, op, after): each key's last entry wins; op 'delete' removes the row."""
     last = log.groupBy(key).agg(F.max_by(F.struct("op", "after"), "lsn").alias("__last"))

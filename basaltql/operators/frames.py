@@ -13,15 +13,44 @@ def groups_frame(df: DataFrame, partition: list[str], order: str, start: int, en
     return peers.withColumn(name, agg.over(frame)).drop("__peer")
 
 
-def sum_excluding(df: DataFrame, partition: list[str], order: list[str], value: str, exclude: str, name: str, start: int = Window.unboundedPreceding, end: int = Window.unboundedFollowing) -> DataFrame:
-    """Sum of value over ROWS start..end without the current row, its peer group ('group') or its other peers ('ties').
-
-    Sums and peers' sums are windows; what is excluded is subtracted. The frame must hold the peers, as the default does."""
-    rows = Window.partitionBy(*partition).orderBy(*order).rowsBetween(start, end)
-    peers = Window.partitionBy(*partition, *order)
-    own, whole, group = F.coalesce(value, F.lit(0)), F.sum(value).over(rows), F.sum(value).over(peers)
-    out = {"current row": F.coalesce(whole, F.lit(0)) - own, "group": F.coalesce(whole, F.lit(0)) - F.coalesce(group, F.lit(0)), "ties": F.coalesce(whole, F.lit(0)) - F.coalesce(group, F.lit(0)) + own}[exclude]
-    return df.withColumn(name, out)
+def excluding(df: DataFrame, partition: list[str], order: list[str | Column], value: str, agg: str, exclude: str, name: str, start: int = Window.unboundedPreceding, end: int = Window.unboundedFollowing) -> DataFrame:
+    """sum, count, avg, min or max of value over ROWS start..end without the current row, its peer group ('group') or its other
+    peers ('ties'). Null if nothing is left, or 0 for count.
+
+    Peers are neighbours, so the same frame over the peers alone holds just the peers inside the frame: sums and counts are
+    differences of windows. min and max need the rows themselves, of a frame with two bounds; without bounds they are taken
+    over the groups before and after."""
+    rows = Window.partitionBy(*partition).orderBy(*order)
+    held = df.withColumn("__peer", F.dense_rank().over(rows)).withColumn("__row", F.row_number().over(rows))
+    #: One order for both windows, also among peers.
+    whole = Window.partitionBy(*partition).orderBy("__row").rowsBetween(start, end)
+    peers = Window.partitionBy(*partition, "__peer").orderBy("__row").rowsBetween(start, end)
+    inside = start <= 0 <= end
+    if agg in ("sum", "count", "avg"):
+        own = F.col(value) if inside else F.lit(None)
+
+        def left(f) -> Column:
+            zero = lambda c: F.coalesce(c, F.lit(0))
+            alone = zero(F.when(own.isNotNull(), F.lit(1) if f is F.count else own))
+            gone = {"current row": alone, "group": zero(f(value).over(peers)), "ties": zero(f(value).over(peers)) - alone}[exclude]
+            return zero(f(value).over(whole)) - gone
+
+        n = left(F.count)
+        out = n if agg == "count" else F.when(n > 0, left(F.sum) if agg == "sum" else left(F.sum) / n)
+    elif start > Window.unboundedPreceding and end < Window.unboundedFollowing:
+        items = F.collect_list(F.struct(F.col(value).alias("v"), "__peer", "__row")).over(whole)
+        keep = {"current row": lambda x: x["__row"] != F.col("__row"), "group": lambda x: x["__peer"] != F.col("__peer"), "ties": lambda x: (x["__peer"] != F.col("__peer")) | (x["__row"] == F.col("__row"))}[exclude]
+        values = F.transform(F.filter(items, keep), lambda x: x["v"])
+        out = F.array_min(values) if agg == "min" else F.array_max(values)
+    elif start == Window.unboundedPreceding and end == Window.unboundedFollowing:
+        f, both = (F.min, F.least) if agg == "min" else (F.max, F.greatest)
+        at = "__row" if exclude == "current row" else "__peer"
+        around = Window.partitionBy(*partition).orderBy(at)
+        out = both(f(value).over(around.rangeBetween(Window.unboundedPreceding, -1)), f(value).over(around.rangeBetween(1, Window.unboundedFollowing)))
+        out = both(out, F.col(value)) if exclude == "ties" else out
+    else:
+        raise ValueError("min and max with EXCLUDE need a frame with two bounds or none")
+    return held.withColumn(name, out).drop("__peer", "__row")
 
 
 def ratio_to_report(value: str, partition: list[str]) -> Column:
@@ -34,8 +63,29 @@ def fetch_percent(df: DataFrame, order: list[Column], percent: float) -> DataFra
     return df.orderBy(*order).limit(-(-int(n * percent * 1000) // 100_000))
 
 
+def fetch_ties(df: DataFrame, order: list[tuple[str, bool]], n: int) -> DataFrame:
+    """FETCH FIRST n ROWS WITH TIES: the first n rows by (column, descending) and all that equal the last of them. The last
+    one's keys are looked up by a top-k; nulls come first ascending and last descending, as Spark sorts."""
+    by = [F.desc(c) if down else F.asc(c) for c, down in order]
+    top = df.orderBy(*by).limit(n).select(*(F.col(c).alias(f"__last_{c}") for c, _ in order))
+    last = top.orderBy(*(F.asc(f"__last_{c}") if down else F.desc(f"__last_{c}") for c, down in order)).limit(1)
+    before, same = F.lit(False), F.lit(True)
+    for c, down in order:
+        x, y = F.col(c), F.col(f"__last_{c}")
+        ahead = (x > y) | (x.isNotNull() & y.isNull()) if down else (x < y) | (x.isNull() & y.isNotNull())
+        before, same = before | (same & F.coalesce(ahead, F.lit(False))), same & x.eqNullSafe(y)
+    return df.join(F.broadcast(last), before | same, "inner").select(*df.columns)
+
+
+def rownum(df: DataFrame, n: int, order: list[Column] | None = None, name: str = "rownum") -> DataFrame:
+    """WHERE ROWNUM <= n: n rows, numbered; in the given order if there is one."""
+    rows = (df.orderBy(*order) if order else df).limit(n)
+    return rows.withColumn(name, F.row_number().over(Window.orderBy(*(order or [F.monotonically_increasing_id()]))))
+
+
 def keep_dense_rank(df: DataFrame, group: list[str], order: Column, aggs: list[Column]) -> DataFrame:
-    """Aggregates over the rows of each group that rank first: KEEP (DENSE_RANK FIRST ORDER BY order)."""
+    """Aggregates over the rows of each group that rank first: KEEP (DENSE_RANK FIRST ORDER BY order). For LAST, give the
+    reverse order."""
     ranked = df.withColumn("__rank", F.rank().over(Window.partitionBy(*group).orderBy(order)))
     return ranked.where("__rank = 1").groupBy(*group).agg(*aggs)
 
@@ -67,3 +117,11 @@ def json_group_object(key: str, value: str) -> Column:
     pairs = F.sort_array(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(value).alias("v"))))
     member = lambda p: F.concat(F.to_json(F.array(p["k"])).substr(F.lit(2), F.length(F.to_json(F.array(p["k"]))) - 2), F.lit(":"), F.coalesce(F.regexp_extract(F.to_json(F.array(p["v"])), r"(?s)^\[(.*)\]$", 1), F.lit("null")))
     return F.concat(F.lit("{"), F.array_join(F.transform(pairs, member), ","), F.lit("}"))
+
+
+def json_group_array(value: str, order: str | None = None, absent_on_null: bool = False) -> Column:
+    """JSON_GROUP_ARRAY: a group's values as a JSON array, by order; nulls are written unless they are to be absent."""
+    items = F.collect_list(F.struct(F.col(order or value).alias("k"), F.struct(F.col(value).alias("v")).alias("x")))
+    texts = F.transform(F.sort_array(items), lambda i: F.coalesce(F.regexp_extract(F.to_json(F.array(i["x"]["v"])), r"(?s)^\[(.*)\]$", 1), F.lit("null")))
+    kept = F.filter(texts, lambda s: s != "null") if absent_on_null else texts
+    return F.concat(F.lit("["), F.array_join(kept, ","), F.lit("]"))

@@ -50,11 +50,12 @@ def range_search(df: DataFrame, id_column: str, vector: str, query: list[float],
     return df.select(F.col(id_column).alias("rowid"), METRICS[metric](F.col(vector), literal(query)).alias("distance")).where(F.col("distance") <= threshold)
 
 
-def search_join(targets: DataFrame, target_id: str, target_vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, metric: str = "l2", blocks: int = 8) -> DataFrame:
+def search_join(targets: DataFrame, target_id: str, target_vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, metric: str = "l2", blocks: int | None = None) -> DataFrame:
     """(query_rowid, rowid, distance): each query's k nearest targets.
 
     Queries meet the targets in blocks: a query goes once to each block, an equi-join on the block's number pairs them,
-    and each block keeps k of a query before the blocks' winners are ranked together."""
+    and each block keeps k of a query before the blocks' winners are ranked together. blocks: as many as shuffle partitions."""
+    blocks = blocks or int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = targets.select(F.col(target_id).alias("rowid"), F.col(target_vector).alias("__t"), F.pmod(F.xxhash64(target_id), F.lit(blocks)).alias("__block"))
     q = queries.select(F.col(query_id).alias("query_rowid"), F.col(query_vector).alias("__q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"))
     met = t.join(q, "__block").select("query_rowid", "__block", "rowid", METRICS[metric](F.col("__t"), F.col("__q")).alias("distance"))
@@ -69,61 +70,98 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
-def matches(text: Column, query: str) -> Column:
-    """A full-text query as a predicate: terms, "phrases", prefix*, AND (also implied), OR, NOT or -, parentheses."""
-    parts = re.findall(r'"[^"]*"|\(|\)|-(?=\S)|[^\s()"]+', query)
-    held = tokens(text)
-    joined = F.concat(F.lit(" "), F.array_join(held, " "), F.lit(" "))
-
-    def term(t: str) -> Column:
-        words = re.findall(r"[a-z0-9_]+", t.lower())
-        if t.endswith("*"):
-            return F.contains(joined, F.lit(f" {words[0]}"))
-        return F.contains(joined, F.lit(f" {' '.join(words)} "))
-
-    def either(i: int) -> tuple[Column, int]:
+def parse(query: str) -> tuple:
+    """A full-text query as a tree: ("term", words, prefix), ("not", x), ("and", x, y), ("or", x, y).
+
+    Terms, "phrases", prefix* (also of a phrase's last word), AND (also implied), OR, NOT or -, parentheses."""
+    parts = re.findall(r'"[^"]*"\*?|\(|\)|-(?=\S)|[^\s()"]+', query)
+
+    def either(i: int) -> tuple[tuple, int]:
         c, i = both(i)
         while i < len(parts) and parts[i].upper() == "OR":
             d, i = both(i + 1)
-            c = c | d
+            c = ("or", c, d)
         return c, i
 
-    def both(i: int) -> tuple[Column, int]:
+    def both(i: int) -> tuple[tuple, int]:
         c, i = one(i)
         while i < len(parts) and parts[i] != ")" and parts[i].upper() != "OR":
             d, i = one(i + 1 if parts[i].upper() == "AND" else i)
-            c = c & d
+            c = ("and", c, d)
         return c, i
 
-    def one(i: int) -> tuple[Column, int]:
+    def one(i: int) -> tuple[tuple, int]:
+        if i >= len(parts):
+            raise ValueError(f"the full-text query ends too early: {query!r}")
         if parts[i].upper() == "NOT" or parts[i] == "-":
             c, i = one(i + 1)
-            return ~c, i
+            return ("not", c), i
         if parts[i] == "(":
             c, i = either(i + 1)
             return c, i + 1
-        return term(parts[i]), i + 1
+        return ("term", tuple(re.findall(r"[a-z0-9_]+", parts[i].lower())), parts[i].endswith("*")), i + 1
 
     return either(0)[0]
 
 
+def wanted(tree: tuple) -> list[tuple]:
+    """The terms that a query asks for; those under NOT are left out."""
+    kind, *rest = tree
+    return [tree] if kind == "term" else [] if kind == "not" else sorted({t for x in rest for t in wanted(x)})
+
+
+def frequency(held: Column, term: tuple) -> Column:
+    """How often a word, prefix or phrase stands in a list of tokens."""
+    _, words, prefix = term
+    if not words:
+        return F.lit(0)
+    is_last = (lambda x: F.startswith(x, F.lit(words[-1]))) if prefix else (lambda x: x == words[-1])
+    if len(words) == 1:
+        return F.size(F.filter(held, is_last))
+    at = F.sequence(F.lit(0), F.size(held) - len(words))
+
+    def found(i: Column) -> Column:
+        same = is_last(F.get(held, i + len(words) - 1))
+        for k, w in enumerate(words[:-1]):
+            same = (F.get(held, i + k) == w) & same
+        return same
+
+    return F.when(F.size(held) >= len(words), F.size(F.filter(at, found))).otherwise(0)
+
+
+def _holds(held: Column, tree: tuple) -> Column:
+    kind, *rest = tree
+    if kind == "term":
+        return frequency(held, tree) > 0
+    if kind == "not":
+        return ~_holds(held, rest[0])
+    a, b = (_holds(held, x) for x in rest)
+    return a & b if kind == "and" else a | b
+
+
+def matches(text: Column, query: str) -> Column:
+    """A full-text query (see parse) as a predicate."""
+    return _holds(tokens(text), parse(query))
+
+
 def bm25(docs: DataFrame, id_column: str, text: str, query: str) -> DataFrame:
-    """(rowid, score) of documents with a query term. Only term counts are shuffled, not texts; corpus figures are one row."""
-    terms = sorted(set(re.findall(r"[a-z0-9_]+", query.lower())))
+    """(rowid, score) of the documents that match the query (see parse): the sum over its words, prefixes and phrases, of which
+    none is under NOT. A query of plain words alone asks for any of them. Only counts are shuffled, not texts; corpus figures
+    are one row."""
+    tree = parse(query)
+    terms = wanted(tree)
+    if re.fullmatch(r"[\w\s]+", query) and not re.search(r"\b(AND|OR|NOT)\b", query, re.IGNORECASE):
+        tree = None
     held = docs.select(F.col(id_column).alias("rowid"), tokens(F.col(text)).alias("__t"))
-    counted = held.select("rowid", F.size("__t").alias("__n"), *(_count(t).alias(f"__tf_{i}") for i, t in enumerate(terms)))
+    counted = held.select("rowid", F.size("__t").alias("__n"), *(frequency(F.col("__t"), t).alias(f"__tf_{i}") for i, t in enumerate(terms)), (F.lit(True) if tree is None else _holds(F.col("__t"), tree)).alias("__hit"))
     figures = counted.agg(F.count("*").alias("__docs"), F.avg("__n").alias("__avg"), *(F.sum((F.col(f"__tf_{i}") > 0).cast("int")).alias(f"__df_{i}") for i in range(len(terms))))
-    score = F.lit(0.0)
+    score, any_term = F.lit(0.0), F.lit(False)
     for i in range(len(terms)):
         tf, df = F.col(f"__tf_{i}"), F.col(f"__df_{i}")
         idf = F.log(1 + (F.col("__docs") - df + 0.5) / (df + 0.5))
         score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__n") / F.col("__avg")))).otherwise(0.0)
-    found = counted.where(" or ".join(f"__tf_{i} > 0" for i in range(len(terms))))
-    return found.join(F.broadcast(figures)).select("rowid", score.alias("score"))
-
-
-def _count(term: str) -> Column:
-    return F.size(F.filter("__t", lambda x: x == term))
+        any_term = any_term | (tf > 0)
+    return counted.where(F.col("__hit") & any_term).join(F.broadcast(figures)).select("rowid", score.alias("score"))
 
 
 def rrf(*ranks: Column) -> Column:

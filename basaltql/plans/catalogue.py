@@ -106,10 +106,20 @@ def _(spark, d):
 
 
 for _kind, _words in {"current row": "CURRENT ROW", "group": "GROUP", "ties": "TIES"}.items():
+    for _agg in ("sum", "count", "min", "max", "avg"):
+        #: sum keeps the shortest name.
+        _name = f"window_exclude_{_kind.replace(' ', '_')}" + ("" if _agg == "sum" else f"_{_agg}")
+        _frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
-    @query(f"window_exclude_{_kind.replace(' ', '_')}", f"SELECT p_partkey, CAST(coalesce(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE {_words}), 0) AS BIGINT) AS v FROM part")
-    def _(spark, d, kind=_kind):
-        return frames.sum_excluding(t(spark, d, "part"), ["p_brand"], ["p_size"], "p_size", kind, "v").select("p_partkey", F.col("v").cast("long"))
+        @query(_name, f"SELECT p_partkey, round(CAST({_agg}(p_size) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey % 2 {_frame} EXCLUDE {_words}) AS DOUBLE), 6) AS v FROM part")
+        def _(spark, d, kind=_kind, agg=_agg):
+            return frames.excluding(t(spark, d, "part"), ["p_brand"], ["p_size", F.col("p_partkey") % 2], "p_size", agg, kind, "v").select("p_partkey", F.round(F.col("v").cast("double"), 6).alias("v"))
+
+    for _agg in ("sum", "count", "min", "max"):
+
+        @query(f"window_exclude_{_kind.replace(' ', '_')}_bounded_{_agg}", f"SELECT p_partkey, CAST({_agg}(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE {_words}) AS BIGINT) AS v FROM part")
+        def _(spark, d, kind=_kind, agg=_agg):
+            return frames.excluding(t(spark, d, "part"), ["p_brand"], ["p_partkey"], "p_size", agg, kind, "v", -2, 1).select("p_partkey", F.col("v").cast("long"))
 
 
 @query("window_ratio_to_report", "SELECT c_custkey, round(CAST(c_custkey AS DOUBLE) / sum(c_custkey) OVER (PARTITION BY c_nationkey), 8) AS v FROM customer")
@@ -176,7 +186,7 @@ query("dual", "SELECT 'X' AS dummy")(lambda spark, d: tables.dual(spark))
 sql("json_extract", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 sql("json_each", "SELECT event_id, key, CAST(value AS STRING) AS v FROM (SELECT event_id, props FROM events), LATERAL variant_explode(parse_json(props))", "SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS v FROM events")
 sql("json_table", "SELECT event_id, j.k FROM events LATERAL VIEW explode(array(from_json(props, 'k BIGINT'))) x AS j", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-query("table_info")(lambda spark, d: tables.columns_of(spark, t(spark, d, "orders")))
+query("table_info", "SELECT CAST(ordinal_position - 1 AS INT) AS cid, column_name AS name, CASE WHEN data_type = 'BIGINT' THEN 'bigint' WHEN data_type = 'INTEGER' THEN 'int' WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' ELSE lower(data_type) END AS type, 0 AS notnull FROM information_schema.columns WHERE table_name = 'orders'")(lambda spark, d: tables.columns_of(spark, t(spark, d, "orders")))
 
 # --- changes
 SOURCE = "SELECT c_custkey + 100 AS c_custkey, 'new' AS c_name FROM customer WHERE c_custkey <= 200"

@@ -138,12 +138,17 @@ query("vec_sum", "SELECT label, i, round(sum(CAST(embedding[i] AS DOUBLE)), 4) A
 query("vec_hybrid_search_batch")(lambda spark, d: retrieval.hybrid_search_batch(t(spark, d, "embeddings"), "vec_id", "embedding", t(spark, d, "documents"), "doc_id", "text", [(q, w) for q, w in zip(_fit(spark, d)[0], ("the", "data"), strict=True)], 5))
 
 
+#: The graph is searched so widely that it finds the exact neighbours.
+_HNSW = " UNION ALL ".join(f"SELECT {i} AS query_idx, rowid FROM (SELECT vec_id AS rowid FROM embeddings ORDER BY list_distance(CAST(embedding AS DOUBLE[]), list_transform(embedding, lambda x: CAST({q[0]} AS DOUBLE))), vec_id LIMIT 5)" for i, q in enumerate(_Q))
+query("vec_search_hnsw", _HNSW)(lambda spark, d: ann.Graph.build(t(spark, d, "embeddings"), "vec_id", "embedding").search_batch(_fit(spark, d)[0], 5, width=400).select("query_idx", "rowid"))
+
+
 @query("vector_analyze")
 def _(spark, d):
     """Recall of each kind of index, for ten stored vectors."""
     df, dim = t(spark, d, "embeddings").where("embedding is not null"), _fit(spark, d)[1]
     asked = [list(map(float, r.embedding)) for r in df.orderBy("vec_id").limit(10).collect()]
-    kinds = {"ivf": (ann.Cells.build(df, "vec_id", "embedding", 16), {"probes": 13}), "lsh": (ann.Signs.build(df, "vec_id", "embedding", dim), {}), "pq": (ann.Codes.build(df, "vec_id", "embedding", dim), {}), "ivfpq": (ann.Codes.build(df, "vec_id", "embedding", dim, cells=16), {"probes": 14, "rescore": 15})}
+    kinds = {"ivf": (ann.Cells.build(df, "vec_id", "embedding", 16), {"probes": 13}), "lsh": (ann.Signs.build(df, "vec_id", "embedding", dim), {}), "pq": (ann.Codes.build(df, "vec_id", "embedding", dim), {}), "ivfpq": (ann.Codes.build(df, "vec_id", "embedding", dim, cells=16), {"probes": 14, "rescore": 15}), "hnsw": (ann.Graph.build(df, "vec_id", "embedding"), {})}
     rows = [(n, 10, len(asked), float(ann.recall(i, df, "vec_id", "embedding", asked, 10, **o))) for n, (i, o) in kinds.items()]
     return spark.createDataFrame(rows, "kind string, k int, sample_size int, mean_recall double")
 

@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import catalogue, extended, functions  # noqa: F401  register on import
+    from . import catalogue, dialect_queries, extended, functions  # noqa: F401  register on import
 
 
 def queries() -> dict[str, Query]:

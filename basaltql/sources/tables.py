@@ -68,3 +68,9 @@ def columns_of(spark: SparkSession, df: DataFrame) -> DataFrame:
 def blob_read(data: Column, offset: int, size: int) -> Column:
     """size bytes of a binary from offset on, counted from 0."""
     return F.substring(data, offset + 1, size)
+
+
+def key_range(df: DataFrame, key: str, low=None, high=None) -> DataFrame:
+    """Rows with low <= key < high; a bound of None is open. The comparison reaches the scan, which skips row groups."""
+    out = df if low is None else df.where(F.col(key) >= low)
+    return out if high is None else out.where(F.col(key) < high)

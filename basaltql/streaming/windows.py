@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,3 +23,13 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     """(user_id, start, n): runs of a user's events no further apart than the gap."""
     rows = _timed(events, late)
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+def streamed(spark: SparkSession, folder: str, file: str, transform, mode: str = "complete") -> DataFrame:
+    """The rows that a stream over the files of a folder with this name (or pattern) gives when all of them have been read:
+    readStream, the transformation, writeStream. Only what an aggregation keeps comes into the result's table."""
+    name = f"stream_{uuid.uuid4().hex}"
+    schema = spark.read.option("pathGlobFilter", file).parquet(folder).schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+    transform(events).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)

@@ -35,6 +35,20 @@ def test_codes(vectors, cells):
     assert ann.recall(ann.Codes.build(df, "id", "v", DIM, 8, 16, cells), df, "id", "v", asked, 10, probes=8) >= 0.85
 
 
+@pytest.mark.parametrize(("metric", "least"), [("l2", 0.9), ("cosine", 0.9), ("inner_product", 0.7)])
+def test_graphs(vectors, metric, least):
+    df, asked = vectors
+    index = ann.Graph.build(df, "id", "v", shard_rows=150)
+    assert ann.recall(index, df, "id", "v", asked, 10, metric, width=32) >= least
+    assert index.search(asked[0], 1).first().rowid == 0
+
+
+def test_graph_of_few_rows(spark):
+    few = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (None, [0.0, 0.0]), (3, None)], "id long, v array<double>")
+    assert [r.rowid for r in ann.Graph.build(few, "id", "v").search([1.0, 2.0], 5).collect()] == [1, 2]
+    assert ann.Graph.build(few.where("id > 5"), "id", "v").search([1.0, 2.0], 5).count() == 0
+
+
 def test_parts_divide_the_dimension(vectors):
     with pytest.raises(ValueError):
         ann.Codes.build(vectors[0], "id", "v", DIM, 5)
