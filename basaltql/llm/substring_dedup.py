@@ -3,9 +3,11 @@
 Edges are the windows of WINDOW words. Each is filed under its smallest ANCHOR_WORDS-gram (its minimizer), so that equal
 windows meet in one partition, and runs of neighbouring windows with the same minimizer travel as one record, with one
 coordinate and the eight bytes of a hash a window. A part of the input sends each window once, however often it holds it. In a partition
-the first coordinate of each repeated edge is found. Neighbouring repeated edges of a document whose first coordinates
-are neighbours as well form a nonbranching path; Spark joins gather the pieces of each document and compact them into
-maximal paths. A path names its source coordinates; fingerprints of both ends, taken from the texts, confirm it."""
+the first coordinate of each repeated edge is found, and neighbouring repeated edges of a document whose first coordinates
+are neighbours as well become one edge, a piece. What remains is compacted by Spark: a node lies between two windows, at a
+place in the document and the place in its source that has the same words; it branches unless as many pieces enter it as
+leave it. Nodes that don't branch vanish, and a join of the others, by their order on a diagonal of document and source, gives
+the maximal paths. A path names its source coordinates; fingerprints of both strands, taken from the texts, confirm it."""
 
 from __future__ import annotations
 
@@ -14,21 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .spark_tools import bounded_batches, gathered, keyed, partitions_for, read, slices, written
+from .spark_tools import MOST_PARTITIONS, bounded_batches, gathered, hot_keys, keyed, looked_up, parts_for, read, slices, written
 from .text_arrays import U, grams, mix, ranges, span_hash, words_of
 
 WINDOW, ANCHOR_WORDS = 20, 6
 #: Text bytes of a part of the input within which windows are sent once.
 PART_BYTES = 4 << 20
+#: Text bytes of the input whose edges a bucket holds.
+BUCKET_BYTES = 8 << 20
 #: Text bytes of an Arrow batch whose words are Python objects.
 TEXT_BYTES = 8 << 20
 #: Sorts after every doc_id; rows without one come last.
 NO_ID = np.iinfo(np.int64).max
 PIECE = np.dtype([("start", "<i4"), ("length", "<i4"), ("source", "<i8"), ("source_hash", "<i8"), ("source_start", "<i4")])
-PIECES = "doc_id long, text_hash long, pieces binary"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -112,6 +115,9 @@ def _edges(buckets: int):
             anchors, rows, starts, sent = anchors[send], rows[send], starts[send], hashes[send]
             head = np.ones(len(rows), bool)
             head[1:] = (rows[1:] != rows[:-1]) | (anchors[1:] != anchors[:-1]) | (np.diff(starts) != 1)
+            #: A run's length is one byte; longer ones are cut.
+            place = np.arange(len(rows))
+            head |= (place - np.maximum.accumulate(np.where(head, place, 0))) % 255 == 0
             runs = np.flatnonzero(head)
             counts = np.diff(np.append(runs, len(rows)))
             bucket = (mix(anchors[runs]) % U(buckets)).astype(np.int64)
@@ -119,31 +125,29 @@ def _edges(buckets: int):
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 r = order[cuts[b] : cuts[b + 1]]
-                record = [anchors[runs[r]], ids[rows[runs[r]]], texts_hash[rows[runs[r]]], starts[runs[r]].astype(np.int32), counts[r].astype(np.int32), sent[ranges(runs[r], counts[r])]]
+                record = [anchors[runs[r]], ids[rows[runs[r]]], texts_hash[rows[runs[r]]], starts[runs[r]].astype(np.int32), counts[r].astype(np.uint8), sent[ranges(runs[r], counts[r])]]
                 out.append((b, None, None, np.array([len(r)], np.int64).tobytes() + b"".join(x.tobytes() for x in record)))
-            out += [(int(t % buckets), d, t, p) for d, t, p in pieces]
+            out += [(int(b), d, t, p) for (d, t, p), b in zip(pieces, np.arange(len(pieces)) * 7919 % buckets, strict=True)]
             yield pa.RecordBatch.from_pylist([{"bucket": b, "doc_id": d, "text_hash": t, "payload": p} for b, d, t, p in out], schema=pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("payload", pa.binary())]))
 
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the runs of a partition's buckets repeat; pieces found before pass through."""
-    held: list[list[np.ndarray]] = []
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pieces", pa.binary())])
-    for batch in batches:
-        done = pa.compute.is_valid(batch.column("text_hash"))
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(done) for c in ("doc_id", "text_hash", "payload")], schema=schema)
-        for payload in batch.column("payload").filter(pa.compute.invert(done)).to_pylist():
-            n, at, parts = int(np.frombuffer(payload, np.int64, 1)[0]), 8, []
-            for kind in (U, np.int64, np.int64, np.int32, np.int32):
-                parts.append(np.frombuffer(payload, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-            held.append([*parts, np.frombuffer(payload, U, -1, at)])
-    if not held:
-        return
+PATHS = "doc_id long, text_hash long, start int, length int, source long, source_hash long, source_start int"
+_FIELDS = ["doc_id", "text_hash", *PIECE.names]
+
+
+def _unpacked(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """Pieces of documents as rows of PATHS."""
+    pieces = np.frombuffer(b"".join(p for _, _, p in found), PIECE)
+    counts = [len(p) // PIECE.itemsize for _, _, p in found]
+    columns = [np.repeat(np.array([x[i] for x in found], np.int64), counts) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (*columns, *(pieces[n] for n in PIECE.names))], _FIELDS)
+
+
+def _matched(held: list[list[np.ndarray]]) -> list[tuple[int, int, bytes]]:
+    """What the runs of a bucket repeat."""
     anchors, doc, th, starts, counts, sent = (np.concatenate([h[i] for h in held]) for i in range(6))
-    held.clear()
     #: Only anchors of two runs or more can hold a repeated window.
     order = np.argsort(anchors, kind="stable")
     equal = anchors[order][1:] == anchors[order][:-1]
@@ -157,36 +161,46 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = sent[at]
     doc, th, starts = np.repeat(doc[r], n), np.repeat(th[r], n), ranges(starts[r].astype(np.int64), n)
     later, first = first_of_each(keys, doc, starts)
-    rows = joined_pieces(doc[later], th[later], starts[later], doc[first], th[first], starts[first])
-    for i in range(0, len(rows), 20_000):
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in rows[i : i + 20_000]], schema=schema)
+    return joined_pieces(doc[later], th[later], starts[later], doc[first], th[first], starts[first])
 
 
-def maximal(pieces: np.ndarray) -> np.ndarray:
-    """A document's pieces, by start; those that continue each other, at their sources too, are one path."""
-    pieces = pieces[np.lexsort((pieces["source_start"], pieces["source_hash"], pieces["source"], pieces["start"]))]
-    end = pieces["start"] + pieces["length"]
-    head = np.ones(len(pieces), bool)
-    head[1:] = ~((pieces["start"][1:] == end[:-1]) & (pieces["source"][1:] == pieces["source"][:-1]) & (pieces["source_hash"][1:] == pieces["source_hash"][:-1]) & (pieces["source_start"][1:] - pieces["source_start"][:-1] == pieces["length"][:-1]))
-    first = np.flatnonzero(head)
-    out = pieces[first].copy()
-    if len(first):
-        out["length"] = np.add.reduceat(pieces["length"], first)
-    return out
-
-
-PATHS = "doc_id long, text_hash long, start int, length int, source long, source_hash long, source_start int"
-
-
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of a partition's buckets, which come one after the other; pieces found before pass through."""
+    held: list[list[np.ndarray]] = []
+    bucket = None
     for batch in batches:
-        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-        for doc, th, parts in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
-            paths = maximal(np.frombuffer(b"".join(parts), PIECE))
-            for c, x in zip(cols, [np.full(len(paths), doc), np.full(len(paths), th), *(paths[f] for f in ("start", "length", "source", "source_hash", "source_start"))], strict=True):
-                c.append(x)
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["doc_id", "text_hash", "start", "length", "source", "source_hash", "source_start"])
+        found: list[tuple[int, int, bytes]] = []
+        for at, doc, th, payload in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "text_hash", "payload")), strict=True):
+            if at != bucket and held:
+                found += _matched(held)
+                held.clear()
+            bucket = at
+            if th is not None:
+                found.append((doc, th, payload))
+                continue
+            n, place, parts = int(np.frombuffer(payload, np.int64, 1)[0]), 8, []
+            for kind in (U, np.int64, np.int64, np.int32, np.uint8):
+                parts.append(np.frombuffer(payload, kind, n, place))
+                place += n * np.dtype(kind).itemsize
+            held.append([*parts[:-1], parts[-1].astype(np.int64), np.frombuffer(payload[place:], U)])
+        if found:
+            yield _unpacked(found)
+    if held and (found := _matched(held)):
+        yield _unpacked(found)
+
+
+def compacted(pieces: DataFrame) -> DataFrame:
+    """The maximal paths (PATHS) of pieces (PATHS); pieces may overlap and repeat."""
+    strand = ["doc_id", "text_hash", "source", "source_hash"]
+    end = lambda moved, leaves: F.struct((F.col("start") + moved).alias("at"), (F.col("source_start") + moved).alias("there"), F.lit(leaves).alias("leaves"))
+    ends = pieces.select(*strand, F.inline(F.array(end(F.lit(0), 1), end(F.col("length"), -1))))
+    nodes = ends.groupBy(*strand, "at", "there").agg(F.sum("leaves").cast("int").alias("open")).where("open <> 0")
+    #: A path keeps to its diagonal; the first to begin there is the first to end.
+    line = [*strand, "diagonal"]
+    tips = nodes.withColumn("diagonal", F.col("at") - F.col("there")).withColumn("begins", F.col("open") > 0).withColumn("n", F.explode(F.sequence(F.lit(1), F.abs("open"))))
+    ranked = tips.withColumn("n", F.row_number().over(Window.partitionBy(*line, "begins").orderBy("at", "n")))
+    heads, tails = ranked.where("begins"), ranked.where("not begins").select(*line, "n", F.col("at").alias("close"))
+    return heads.join(tails, [*line, "n"]).select("doc_id", "text_hash", F.col("at").alias("start"), (F.col("close") - F.col("at")).alias("length"), "source", "source_hash", F.col("there").alias("source_start"))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,16 +236,18 @@ def by_key(docs: DataFrame) -> DataFrame:
 
 def repeated_paths(texts: DataFrame) -> DataFrame:
     """Verified paths of the texts (by_key): PATHS. length counts windows; the words are length + WINDOW - 1."""
-    buckets = partitions_for(texts, 8 << 20)
+    buckets = parts_for(texts, BUCKET_BYTES)
     edges = texts.mapInArrow(_edges(buckets), "bucket int, doc_id long, text_hash long, payload binary")
-    pieces = edges.repartition(buckets, "bucket").mapInArrow(_repeats, PIECES)
-    paths = written(pieces.groupBy("doc_id", "text_hash").agg(F.collect_list("pieces").alias("pieces")).mapInArrow(_paths, PATHS), "paths")
+    dealt = edges.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
+    paths = written(compacted(dealt.mapInArrow(_repeats, PATHS)), "paths")
     own, there = ["doc_id", "text_hash", "start", "length"], ["source", "source_hash", "source_start", "length"]
     spans = paths.select(own).union(paths.select(there)).distinct()
     of_text = spans.groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths"))
     prints = texts.join(of_text, ["doc_id", "text_hash"]).mapInArrow(_fingerprints, "doc_id long, text_hash long, start int, length int, print binary").distinct()
-    sources = prints.toDF(*there, "source_print")
-    return paths.join(prints, own).join(sources, there).where("print = source_print").select(*own, "source", "source_start")
+    prints = written(prints, "prints")
+    #: Many paths can have one source.
+    sourced = looked_up(paths, prints.toDF(*there, "source_print"), there, hot_keys(paths, there))
+    return sourced.join(prints, own).where("print = source_print").select(*own, "source", "source_start")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
