@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from .spark_tools import bounded_batches, read, written
 
 K, QUERY_EVERY, SCALE = 20, 20, 64
-#: Vectors of a shard, of a block in it, and queries that meet a shard together.
-SHARD, BLOCK, QUERIES = 16384, 64, 1024
+#: Vectors of a shard, of a block in it, and queries that meet a shard together: what a task holds. A vector is sent once for
+#: QUERIES queries, a query once for SHARD vectors.
+SHARD, BLOCK, QUERIES = 16384, 64, 32768
+#: Queries that a shard's blocks are ordered for at once.
+STEP = 1024
 
 
 def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,48 +67,60 @@ def clustered(x: np.ndarray) -> np.ndarray:
     return np.lexsort((-near.max(1), near.argmax(1)))
 
 
-def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's index, vec_id, score): each query's k best of a shard, ties to smaller ids, that score floor or more."""
-    width = max(x.shape[1], q.shape[1])
-    x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
-    order = clustered(x)
-    kind = exact_kind(x, q)
-    ids, x, q = ids[order], x[order].astype(kind), q.astype(kind)
-    starts = np.arange(0, len(x), BLOCK)
-    high, low = np.maximum.reduceat(x, starts), np.minimum.reduceat(x, starts)
-    bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-    by_bound = np.argsort(-bounds, axis=1, kind="stable")
-    out_q, out_id, out_s = [], [], []
-    for i in range(len(q)):
-        best_s, best_id, kth = np.zeros(0, kind), np.zeros(0, np.int64), floor[i]
-        at = 0
-        while at < len(starts) and bounds[i, by_bound[i, at]] >= kth:
-            step = by_bound[i, at : at + 8]
-            step = step[bounds[i, step] >= kth]
-            at += 8
-            rows = (starts[step][:, None] + np.arange(BLOCK)[None]).reshape(-1)
-            rows = rows[rows < len(x)]
-            s = x[rows] @ q[i]
-            fit = (s >= kth) & (ids[rows] != query_ids[i])
-            best_s, best_id = np.concatenate([best_s, s[fit]]), np.concatenate([best_id, ids[rows][fit]])
-            keep = np.lexsort((best_id, -best_s))[:k]
-            best_s, best_id = best_s[keep], best_id[keep]
-            if len(keep) == k:
-                kth = max(kth, best_s[-1])
-        out_q.append(np.full(len(best_s), i))
-        out_id.append(best_id)
-        out_s.append(best_s)
-    return tuple(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in (out_q, out_id, out_s))
-
-
-def _meeting(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    columns = {"query_id": "int64", "vec_id": "int64", "score": "int64"}
-    if members.empty or queries.empty:
-        return pd.DataFrame({c: np.zeros(0, t) for c, t in columns.items()})
-    ids = queries["query_id"].to_numpy()
-    floor = queries["floor"].to_numpy(float) if "floor" in queries else np.full(len(ids), -np.inf)
-    i, vec, score = search(members["vec_id"].to_numpy(), matrix(members["vector"].tolist()), ids, matrix(queries["vector"].tolist()), floor)
-    return pd.DataFrame({"query_id": ids[i], "vec_id": vec, "score": score})
+class Shard:
+    """Vectors in blocks of similar ones, with each block's largest and smallest value of every term."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        order = clustered(x)
+        self.ids, self.x = ids[order], x[order]
+        self.starts = np.arange(0, len(x), BLOCK)
+        self.high, self.low = np.maximum.reduceat(self.x, self.starts), np.minimum.reduceat(self.x, self.starts)
+
+    def search(self, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's index, vec_id, score): each query's k best of the shard, ties to smaller ids, that score floor or more."""
+        width = max(self.x.shape[1], q.shape[1])
+        kind = exact_kind(self.x, q)
+        x, high, low, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))).astype(kind) for m in (self.x, self.high, self.low, q))
+        ids, starts = self.ids, self.starts
+        bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        by_bound = np.argsort(-bounds, axis=1, kind="stable")
+        out_q, out_id, out_s = [], [], []
+        for i in range(len(q)):
+            best_s, best_id, kth = np.zeros(0, kind), np.zeros(0, np.int64), floor[i]
+            at = 0
+            while at < len(starts) and bounds[i, by_bound[i, at]] >= kth:
+                step = by_bound[i, at : at + 8]
+                step = step[bounds[i, step] >= kth]
+                at += 8
+                rows = (starts[step][:, None] + np.arange(BLOCK)[None]).reshape(-1)
+                rows = rows[rows < len(x)]
+                s = x[rows] @ q[i]
+                fit = (s >= kth) & (ids[rows] != query_ids[i])
+                best_s, best_id = np.concatenate([best_s, s[fit]]), np.concatenate([best_id, ids[rows][fit]])
+                keep = np.lexsort((best_id, -best_s))[:k]
+                best_s, best_id = best_s[keep], best_id[keep]
+                if len(keep) == k:
+                    kth = max(kth, best_s[-1])
+            out_q.append(np.full(len(best_s), i))
+            out_id.append(best_id)
+            out_s.append(best_s)
+        return tuple(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in (out_q, out_id, out_s))
+
+
+def _meeting(k: int):
+    def run(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})]
+        if not members.empty and not queries.empty:
+            shard = Shard(members["vec_id"].to_numpy(), matrix(members["vector"].tolist()))
+            for at in range(0, len(queries), STEP):
+                some = queries.iloc[at : at + STEP]
+                ids = some["query_id"].to_numpy()
+                floor = some["floor"].to_numpy(float) if "floor" in some else np.full(len(ids), -np.inf)
+                i, vec, score = shard.search(ids, matrix(some["vector"].tolist()), floor, k)
+                out.append(pd.DataFrame({"query_id": ids[i], "vec_id": vec, "score": score}))
+        return pd.concat(out)
+
+    return run
 
 
 def top_k(vectors: DataFrame, query_every: int = QUERY_EVERY, k: int = K) -> DataFrame:
@@ -129,7 +144,7 @@ def top_k(vectors: DataFrame, query_every: int = QUERY_EVERY, k: int = K) -> Dat
     def met(members: DataFrame, queries: DataFrame, count: int) -> DataFrame:
         left = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         right = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_meeting, "query_id long, vec_id long, score long")
+        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_meeting(k), "query_id long, vec_id long, score long")
 
     if shards > 2:
         #: The k-th best of any part of the vectors is a floor for the k-th best of all.
