@@ -4,14 +4,19 @@ Tokens are runs of `[A-Za-z0-9+/_=.-]`. Each is tagged O (outside), B (a secret
 the words and marks around it and features of the file. Tokens of under LEAST characters that follow no assignment mark
 can only be O: the chain falls apart at them. Viterbi runs on what lies between where a tag other than O is possible at all:
 a token's shape, the best that its surroundings could add and the best transitions bound its gain, which is exact.
-The field is trained on a bounded sample of texts, with the fixed patterns' spans as labels; keyword features are dropped
-at random, so that shape alone can carry a decision where no keyword stands."""
+The field is trained on a bounded sample of texts. Labels are the fixed patterns' spans and, in each sampled text, phrases
+planted at random: random values of many shapes behind keywords that the patterns lack or behind none, as secrets, and ordinary
+values behind the same words and others, as clean text. A token that looks random though no pattern covers it may be a secret
+that the patterns miss, so its chain teaches nothing. Keyword features are dropped at random, so that shape alone can carry a
+decision where no keyword stands."""
 
 from __future__ import annotations
 
 import json
 import math
+import random
 import re
+import string
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,7 +38,7 @@ BETWEEN = " \"'=:,;+\\"
 #: Holds wherever base_spans finds something, in Spark's regular expressions.
 BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"""
 #: Training: at most so many texts that a fixed pattern matches and as many others; of one text so many chains with a label and so many others.
-SAMPLE_EACH, SAMPLE_CHAINS, OTHER_CHAINS, EPOCHS, RATE = 750, 20, 8, 8, 0.2
+SAMPLE_EACH, SAMPLE_CHAINS, OTHER_CHAINS, EPOCHS, RATE = 750, 20, 8, 8, 0.3
 #: A chain's tag counts only if the field is this sure of it.
 SURE = 0.9
 TAGS = 3  # O, B, I
@@ -55,8 +60,11 @@ def shape(token: str) -> list[str]:
     for c in token:
         counts[c] += 1
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
+    classes = [("U" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "s") for c in token]
+    #: Random texts change between classes often; names and words joined to one don't.
+    turns = sum(x != y for x, y in zip(classes, classes[1:], strict=False))
     kinds = ("d" if digits else "") + ("U" if upper else "") + ("l" if lower else "") + ("s" if digits + upper + lower < n else "")
-    return [f"len{min(n // 8, 8)}", f"dig{round(5 * digits / n)}", f"kinds:{kinds}", f"ent{int(2 * entropy)}", f"{kinds}:{int(entropy)}", f"hex{all(c in '0123456789abcdef' for c in token)}", f"dots{min(token.count('.'), 3)}", f"head:{token[:4] if token[:4].isalpha() else '-'}"]
+    return [f"len{min(n // 8, 8)}", f"dig{round(5 * digits / n)}", f"kinds:{kinds}", f"ent{int(2 * entropy)}", f"{kinds}:{int(entropy)}", f"hex{all(c in '0123456789abcdef' for c in token)}", f"dots{min(token.count('.'), 3)}", f"turns{int(8 * turns / n)}", f"{kinds}:turns{int(5 * turns / n)}", f"head:{token[:4] if token[:4].isalpha() else '-'}"]
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
@@ -152,7 +160,8 @@ def train(examples: list[tuple[list[list[str]], list[int]]]) -> dict:
                 t += rate * g
             w *= 1 - 1e-5
             t[0, 2] = -1e9
-        mean_w, mean_t, k = mean_w + w, mean_t + t, k + 1
+        if epoch >= EPOCHS // 2:  # the first ones are still far off
+            mean_w, mean_t, k = mean_w + w, mean_t + t, k + 1
     return {"names": names, "weights": mean_w / k, "transitions": mean_t / k}
 
 
@@ -171,6 +180,78 @@ def _labels(spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> l
     return tags
 
 
+#: Words and marks of planted phrases. Secrets stand behind KEYS, ordinary values behind KEYS and PLAIN.
+KEYS = "pwd pass passphrase credential credentials auth authorization bearer login pin cert cookie access_key private_key client_secret session_key password secret token key".split()
+PLAIN = "version name title date id number size count file path page author status result value code line user host address".split()
+MARKS = (" = ", "=", ": ", ":", " ", " is ", ' = "', ": '", "='")
+ALPHABETS = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters, string.ascii_letters + string.digits + "_-")
+#: Characters of a planted value, of the text around it that counts, and planted phrases of each kind in a sampled text.
+SECRET_SIZE, AROUND, PLANTED = (10, 44), 160, 2
+
+
+def random_value(rng: random.Random) -> str:
+    alphabet = rng.choice(ALPHABETS)
+    return "".join(rng.choice(alphabet) for _ in range(rng.randint(*SECRET_SIZE)))
+
+
+def ordinary_value(rng: random.Random, words: list[str]) -> str:
+    """What stands behind a mark in clean text: words, joined words, numbers, dates, versions, names of files and hosts."""
+    word = lambda: rng.choice(words)
+    number = lambda n: str(rng.randrange(10**n))
+    return rng.choice((
+        word, word, lambda: rng.choice("-_./").join(word() for _ in range(rng.randint(2, 4))), lambda: word() + number(rng.randint(1, 4)), lambda: number(rng.randint(3, 12)),
+        lambda: f"{rng.randint(1950, 2050)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"{rng.randint(0, 20)}.{rng.randint(0, 40)}.{rng.randint(0, 9)}", lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        lambda: f"{word()}_{number(2)}.{word()[:3]}", lambda: f"{word()}{number(1)}.{word()}.com", lambda: f"/{word()}/{word()}/{word()}.{word()[:3]}", lambda: word().capitalize() + word().capitalize() + word().capitalize(),
+    ))()
+
+
+def gap(text: str, at: int, step: int) -> int:
+    """The place of a space from here on, forwards or backwards; where there is none nearby, here."""
+    end = text.find(" ", at, at + AROUND) if step > 0 else text.rfind(" ", max(0, at - AROUND), at)
+    return at if end < 0 else end
+
+
+def planted(text: str, base: list[tuple[str, int, int]], rng: random.Random) -> list[tuple[list[list[str]], list[int]]]:
+    """Examples of phrases put into the text: a secret, and an ordinary value, each in its chain."""
+    file, out = file_features(text, tokens(text)), []
+    for secret in [True, False] * PLANTED:
+        at = gap(text, rng.randrange(len(text) + 1), 1)
+        at = max([at, *(b for _, a, b in base if a < at < b)])
+        left, right = text[gap(text, max(0, at - AROUND), 1) : at], text[at : gap(text, min(len(text), at + AROUND), -1)]
+        #: A word of mixed case may be a secret's.
+        words = [w for w in re.findall(r"[^\W\d_]+", left + right) if w[1:] == w[1:].lower()] or ["text"]
+        value = random_value(rng) if secret else ordinary_value(rng, words)
+        key = rng.choice(KEYS) if rng.random() < (0.8 if secret else 0.4) else rng.choice([*PLAIN, rng.choice(words)])
+        mark = rng.choice(MARKS)
+        before = left + f" {key}{mark}"
+        around = before + value + mark[-1:].strip(" =:") + " " + right
+        start, end = len(before), len(before) + len(value)
+        spans = tokens(around)
+        hit = next((i for i, (a, b) in enumerate(spans) if a < end and start < b), None)
+        if hit is not None:
+            first, last = hit, hit + 1
+            while first and linked(around, spans[first - 1], spans[first]):
+                first -= 1
+            while last < len(spans) and linked(around, spans[last - 1], spans[last]):
+                last += 1
+            chain = spans[first:last]
+            labels = _labels(chain, secret_parts(around, base_spans(around)) + [("planted", start, end)] * secret)
+            if taught(around, chain, labels) and (secret or not labels[hit - first]):
+                out.append(([token_features(around, *x, file) for x in chain], labels))
+    return out
+
+
+def looks_random(token: str) -> bool:
+    """Letters and digits in turns, as names and numbers don't have them."""
+    turns = sum(x.isdigit() != y.isdigit() for x, y in zip(token, token[1:], strict=False))
+    return len(token) >= 12 and turns >= 4 and "." not in token
+
+
+def taught(text: str, spans: list[tuple[int, int]], labels: list[int]) -> bool:
+    """Whether no token outside the labelled ones looks random."""
+    return not any(not tag and looks_random(text[a:b]) for (a, b), tag in zip(spans, labels, strict=True))
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The examples of each text. A text that only looks as if a fixed pattern matched it (BASE) is left out."""
     for batch in slices(batches, "text", 1 << 20):
@@ -179,21 +260,20 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text)
             if base or not maybe:
                 parts = secret_parts(text, base)
-                held = [(fs, _labels(spans, parts)) for spans, fs in chains(text)]
+                held = [(fs, labels) for spans, fs in chains(text) if taught(text, spans, labels := _labels(spans, parts))]
                 some, others = ([x for x in held if any(x[1]) == labelled] for labelled in (True, False))
                 #: The others are spread over the text.
-                out.append((at, maybe, json.dumps(some[:SAMPLE_CHAINS] + others[:: -(-len(others) // OTHER_CHAINS) or 1])))
+                found = some[:SAMPLE_CHAINS] + others[:: -(-len(others) // OTHER_CHAINS) or 1]
+                out.append((at, maybe, json.dumps(found + planted(text, base, random.Random(at)))))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.float64(), pa.bool_(), pa.string()))], ["at", "maybe", "examples"])
 
 
 def fit(docs: DataFrame) -> dict | None:
     """Trains on at most SAMPLE_EACH texts with a fixed pattern's span and as many others, chosen from all rows by a hash of
-    the text. None only if no text has such a span."""
+    the text, and on phrases planted in them. None only if there is no text."""
     bounded_batches(docs.sparkSession)
     texts = keyed(docs).where("text <> ''").withColumn("maybe", F.col("text").rlike(BASE)).withColumn("at", F.pmod(F.xxhash64("text_hash"), F.lit(1 << 40)) / float(1 << 40))
     n = {r["maybe"]: r["count"] for r in texts.groupBy("maybe").count().collect()}
-    if not n.get(True):
-        return None
     rows: list = []
     for maybe in (True, False):
         #: A share of the hashes that holds enough rows; if few of them have a span or many are equal, four times as many, up to all.
