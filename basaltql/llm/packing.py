@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Merges, byte_letters, merge_list
 from .span_memory import SpanMemory
-from .spark_tools import bounded_batches, input_bytes, keyed, read, slices
+from .spark_tools import MOST_PARTITIONS, bounded_batches, input_bytes, keyed, read, slices
 from .text_arrays import ranges, words_of
 
 LENGTH, GROUP_DOCS, GROUP_TOKENS, END_ID = 2048, 4096, 4_000_000, 1
@@ -28,6 +28,8 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 PARTS = regex.compile(r"""\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+""")
 #: Below it, normal forms change no letter. White space beyond the six characters, and added tokens, are the library's.
 LATIN_END, ODD = "\u0180", regex.compile(r"\s|<\|")
+#: Bytes of the input that a task packs, a group after the other.
+PART_BYTES = 16 << 20
 #: Letters of a word from which on the library's heap of merges is the faster one.
 LONG_WORD = 2000
 
@@ -188,7 +190,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, length: i
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     bounded_batches(docs.sparkSession)
     texts = keyed(docs).select("doc_id", "text")
-    return texts.repartition(max(1, -(-input_bytes(texts) // (4 << 20)))).mapInArrow(_packed(tokenizer_path, length), PIECES)
+    size = input_bytes(texts)
+    #: Where the size isn't known, the input's own partitions say how much there is.
+    parts = min(MOST_PARTITIONS, -(-size // PART_BYTES)) if size else texts.rdd.getNumPartitions()
+    dealt = texts.repartition(max(1, parts)).sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id")
+    return dealt.mapInArrow(_packed(tokenizer_path, length), PIECES)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
