@@ -18,8 +18,10 @@ from .spark_tools import bounded_batches, keyed, read, slices
 from .text_arrays import LOWER, raw
 
 DIMENSIONS, LETTER = 4096, regex.compile(r"\p{L}")
-#: Labelled rows to learn from: about SAMPLE_ROWS in all, at most SAMPLE_EACH of a language, chosen by a hash of doc_id.
-SAMPLE_ROWS, SAMPLE_EACH = 2000, 500
+#: Labelled rows to learn from: about SAMPLE_ROWS in all, at most SAMPLE_EACH of a language, chosen by a hash of the row.
+SAMPLE_ROWS, SAMPLE_EACH, LEAST_EACH = 2000, 500, 4
+#: Languages that the model is made for, as a parameter of fit.
+MOST_LANGUAGES = 1000
 STEPS, RATE, PENALTY = 200, 2.0, 1e-4
 UNKNOWN, AMBIGUOUS_BELOW = "und", 0.5
 
@@ -132,18 +134,21 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
 
 
-def fit(labelled: DataFrame) -> dict | None:
-    """Learns from (doc_id, text, lang): about SAMPLE_ROWS rows, of each language a share fixed by its count in all rows."""
+def fit(labelled: DataFrame, most_languages: int = MOST_LANGUAGES) -> dict | None:
+    """Learns from (doc_id, text, lang): about SAMPLE_ROWS rows, of each language a share fixed by its count in all rows, but
+    LEAST_EACH rows of it (all, if fewer). More than most_languages languages are an error."""
     labelled = labelled.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS // 4).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(most_languages + 1).collect()}
     if not counts:
         return None
-    each = min(SAMPLE_EACH, SAMPLE_ROWS // len(counts))
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        wanted = wanted | ((F.col("lang") == lang) & (chance < each / n))
-    rows = labelled.where(wanted).limit(2 * SAMPLE_ROWS).select("lang", "text").mapInArrow(_features, "lang string, grams binary").collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages; raise most_languages to learn them all")
+    each = max(LEAST_EACH, min(SAMPLE_EACH, SAMPLE_ROWS // len(counts)))
+    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, each / n)))
+    sampled = labelled.withColumn("__at", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)).where(F.col("__at") < F.element_at(shares, F.col("lang")))
+    #: Repeated rows share a hash, so the bound is kept by the order; sorted, the same table gives the same model.
+    most = 2 * max(SAMPLE_ROWS, each * len(counts))
+    rows = sorted(sampled.orderBy("__at", "lang").limit(most).select("lang", "text").mapInArrow(_features, "lang string, grams binary").collect())
     if not rows:
         return None
     return train(np.stack([np.frombuffer(r["grams"], np.float32) for r in rows]), [r["lang"] for r in rows])
