@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .spark_tools import MOST_PARTITIONS, bounded_batches, gathered, hot_keys, keyed, looked_up, parts_for, read, slices, written
+from .spark_tools import MOST_PARTITIONS, bounded_batches, forget, gathered, hot_keys, keyed, looked_up, parts_for, read, slices, written
 from .text_arrays import U, grams, mix, ranges, span_hash, words_of
 
 WINDOW, ANCHOR_WORDS = 20, 6
@@ -239,7 +239,9 @@ def repeated_paths(texts: DataFrame) -> DataFrame:
     buckets = parts_for(texts, BUCKET_BYTES)
     edges = texts.mapInArrow(_edges(buckets), "bucket int, doc_id long, text_hash long, payload binary")
     dealt = edges.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
-    paths = written(compacted(dealt.mapInArrow(_repeats, PATHS)), "paths")
+    pieces = written(dealt.mapInArrow(_repeats, PATHS), "pieces")
+    paths = written(compacted(pieces), "paths")
+    forget(pieces)
     own, there = ["doc_id", "text_hash", "start", "length"], ["source", "source_hash", "source_start", "length"]
     spans = paths.select(own).union(paths.select(there)).distinct()
     of_text = spans.groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths"))
