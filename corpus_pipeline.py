@@ -1,7 +1,11 @@
 """A corpus pipeline over documents: language ID, line dedup, near-dedup, secret scans, packing.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next one's docs. All but the last return the columns of documents."""
+and read again as the next one's docs. All but the last return the columns of documents, also further ones.
+
+A null text has no language, so the first stage drops its document; an empty one goes the same way. Repeated rows stay as they
+are until near-dedup, where rows with one doc_id are one document and stay or go together. Rows without doc_id count as one
+document for each different text. An empty table gives no rows."""
 
 from __future__ import annotations
 
