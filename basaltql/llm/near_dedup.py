@@ -6,8 +6,9 @@ Jaccard similarity. ROWS registers make a band; documents that share a band are
 first held against one hub, the one with the smallest id, which links large groups of copies by a star and never by all
 pairs. Components of these links leave some bands whose documents lie in different components; only there, blocks of a
 band are compared with each other: a pair is dropped if its own shingles, those that no other document there has, already
-rule the similarity out, or if the likelihood of the joint registers does. What is left is verified as well. Every link
-that counts is confirmed on full sets."""
+rule the similarity out, or if the likelihood of the joint registers does. Documents with a partner left meet once more
+with their full sets, and a meeting gives a spanning forest of its links, never all pairs. Every link that counts is
+confirmed on full sets."""
 
 from __future__ import annotations
 
@@ -146,7 +147,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of different components among the documents of one block, or of two blocks of a band."""
+    """Of the documents of one block, or of two blocks of a band, those with a likely partner of another component there: a
+    row for each document, never one for each pair."""
     for batch in slices(batches, "block_registers", 8 << 20):
         for row in batch.to_pylist():
             registers = np.frombuffer(row["block_registers"], np.uint16).reshape(-1, REGISTERS)
@@ -156,9 +158,9 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here = int((bands[0] == np.int64(row["band"]).astype(U)).argmax())
             left = np.flatnonzero(side != 1)
             right = np.flatnonzero(side != 0)
-            pairs = []
+            paired = np.zeros(len(node), bool)
             for i in left.tolist():
-                j = right[(label[right] != label[i]) & ((node[right] > node[i]) if row["same"] else True)]
+                j = right[(label[right] != label[i]) & ((node[right] > node[i]) if row["x"] == row["y"] else True)]
                 j = j[(bands[j] == bands[i]).argmax(1) == here]
                 #: Shingles of one document only can't be common to two.
                 common = np.minimum(n[j] - own[j], n[i] - own[i])
@@ -168,9 +170,57 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(j):
                     a = np.broadcast_to(registers[i], (len(j), REGISTERS))
                     j = j[likely_similarity(a, registers[j], np.full(len(j), float(n[i])), n[j].astype(float)) >= LIKELY]
-                    pairs += [(min(x, int(node[i])), max(x, int(node[i]))) for x in node[j].tolist()]
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+                    paired[j] = True
+                    paired[i] |= len(j) > 0
+            #: Rows with one doc_id are one node here.
+            out = np.flatnonzero(paired)[np.unique(node[paired], return_index=True)[1]]
+            if len(out):
+                meeting = [pa.array([row[c]] * len(out), t) for c, t in (("band", pa.int64()), ("x", pa.int32()), ("y", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*meeting, pa.array(side[out].astype(np.int32)), pa.array(node[out]), pa.array(label[out])], ["band", "x", "y", "side", "node", "label"])
+
+
+def forest(node: np.ndarray, label: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of all links (a, b) between the left documents (side not 1) and the right ones (side not 0): a link
+    between documents that labels or earlier links have joined is left out, so links are fewer than labels."""
+    sizes, root = np.array([len(x) for x in sets]), label.copy()
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    terms = np.split(place, np.cumsum(sizes)[:-1])
+    right = np.flatnonzero(side != 0)
+    if not len(right):
+        return []
+    there, heads = np.concatenate([terms[j] for j in right.tolist()]), np.cumsum(sizes[right]) - sizes[right]
+    here, links = np.zeros(len(values), np.int32), []
+    for i in np.flatnonzero(side != 1).tolist():
+        other = root[right] != root[i]
+        if other.any():
+            here[terms[i]] = 1
+            common = np.add.reduceat(here[there], heads)
+            here[terms[i]] = 0
+            near = right[other & (100 * common >= PERCENT * (sizes[right] + sizes[i] - common))]
+            roots, first = np.unique(root[near], return_index=True)
+            links += [(min(x, int(node[i])), max(x, int(node[i]))) for x in node[near[first]].tolist()]
+            root[np.isin(root, roots)] = root[i]
+    return links
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of each meeting (band, x, y) from its documents' full sets. Rows of a meeting follow each other, and only
+    those of one meeting are held."""
+
+    def links_of(rows: list[dict]) -> pa.RecordBatch:
+        links = forest(*(np.array([r[c] for r in rows]) for c in ("node", "label", "side")), [np.frombuffer(r["shingles"], U) for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    now, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and (row["band"], row["x"], row["y"]) != now:
+                yield links_of(held)
+                held = []
+            now = (row["band"], row["x"], row["y"])
+            held.append(row)
+    if held:
+        yield links_of(held)
 
 
 def _shared_out(buckets: int):
@@ -256,8 +306,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = sets.select("node", "bands").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "bands")
     member = named.select("node", "label", F.explode("bands").alias("band"))
     #: Bands of two are settled by their star; so are those that lie in one component.
-    open_bands = member.groupBy("band").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("members > 2 and lo <> hi").select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    unsettled = written(member.join(open_bands, "band"), "unsettled")
+    open_bands = member.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("members > 2 and lo <> hi").select("band", "hub", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    #: A band's hub has met all others there.
+    unsettled = written(member.join(open_bands, "band").where("node <> hub").drop("hub"), "unsettled")
     alone = own_shingles(full.join(unsettled.select("node").distinct(), "node", "left_semi"), partitions_for(full, BUCKET_BYTES))
     #: A document whose own shingles alone rule out every partner needs no meeting.
     hopeful = thin.join(alone, "node", "left").fillna(0, ["own"]).where(100 * (F.col("n") - F.col("own")) >= PERCENT * F.col("n"))
@@ -269,10 +320,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("band", "x", "y")
         .agg(F.sort_array(F.collect_list(F.struct("node", "label", "n", "own", "side", "registers"))).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         .where("lo <> hi")
-        .select("band", F.col("m.node").alias("nodes"), F.col("m.label").alias("labels"), F.col("m.n").alias("sizes"), F.col("m.own").alias("owns"), F.col("m.side").alias("sides"), (F.col("x") == F.col("y")).alias("same"), F.expr("unhex(array_join(transform(m, r -> hex(r.registers)), ''))").alias("block_registers"))
+        .select("band", "x", "y", F.col("m.node").alias("nodes"), F.col("m.label").alias("labels"), F.col("m.n").alias("sizes"), F.col("m.own").alias("owns"), F.col("m.side").alias("sides"), F.expr("unhex(array_join(transform(m, r -> hex(r.registers)), ''))").alias("block_registers"))
     )
-    rest = blocks.mapInArrow(_across, "a long, b long").distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = confirmed(rest, full, "rest")
+    #: In a meeting, full sets go once for each document that has a likely partner there, and links come back as a forest.
+    paired = blocks.mapInArrow(_across, "band long, x int, y int, side int, node long, label long").join(full, "node")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    more = written(paired.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_joined, "a long, b long"), "rest-links")
+    bounded_batches(spark)
     if more.limit(1).count():
         labels = components(links.union(more))
     groups = sets.select(*content, "node").join(labels, "node", "left").select(*content, F.coalesce("label", "node").alias("label"))

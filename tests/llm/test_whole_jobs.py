@@ -97,3 +97,41 @@ def test_components_of_a_large_star(spark, monkeypatch):
     chain = spark.range(1000, 1050).selectExpr("id a", "id + 1 b")
     got = {r.node: r.label for r in components(star.union(chain)).collect()}
     assert got == {**{i: 0 for i in range(200)}, **{i: 1000 for i in range(1000, 1051)}}
+
+
+def test_links_between_components_are_a_forest(spark, monkeypatch):
+    """Near copies behind hubs they are not linked with: links found later join components, and don't grow with all pairs."""
+    from basaltql.llm import near_dedup
+
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    edited = lambda i, edits: " ".join(f"x{i}y{k}" if k in edits else w for k, w in enumerate(base))
+    texts = [edited(i, set(rng.choice(300, 12 if i < 60 else 3, replace=False).tolist())) for i in range(140)]
+    rows = {}
+
+    def written(df, name, f=near_dedup.written):
+        out = f(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", written)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(296)} for t in texts]
+    pairs = [(j, i) for i in range(140) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    label = list(range(140))
+    for _ in range(140):
+        for j, i in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    assert got == dict(enumerate(label)) and len(set(label)) > 20
+    assert rows["rest-links"] < 140 < len(pairs)
+
+
+def test_forest_of_links():
+    from basaltql.llm import near_dedup
+
+    sets = [np.arange(i, i + 100, dtype=np.uint64) for i in (0, 5, 10, 50, 55, 400, 1)]
+    node, label = np.arange(7), np.array([0, 1, 2, 3, 4, 5, 0])
+    links = near_dedup.forest(node, label, np.full(7, 2), sets)
+    assert len(links) == 3 and all(a < b and len(np.intersect1d(sets[a], sets[b])) * 100 >= 75 * len(np.union1d(sets[a], sets[b])) for a, b in links)
+    assert near_dedup.forest(node, label, np.array([0, 0, 0, 1, 1, 1, 0]), sets) == []
+    assert near_dedup.forest(node, label, np.array([0, 0, 0, 0, 1, 1, 0]), sets) == [(3, 4)]
