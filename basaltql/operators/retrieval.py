@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,30 +119,43 @@ def frequency(held: Column, term: tuple) -> Column:
     is_last = (lambda x: F.startswith(x, F.lit(words[-1]))) if prefix else (lambda x: x == words[-1])
     if len(words) == 1:
         return F.size(F.filter(held, is_last))
-    at = F.sequence(F.lit(0), F.size(held) - len(words))
 
-    def found(i: Column) -> Column:
-        same = is_last(F.get(held, i + len(words) - 1))
-        for k, w in enumerate(words[:-1]):
-            same = (F.get(held, i + k) == w) & same
-        return same
+    def places(held: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(held) - len(words))
 
-    return F.when(F.size(held) >= len(words), F.size(F.filter(at, found))).otherwise(0)
+        def found(i: Column) -> Column:
+            same = is_last(F.get(held, i + len(words) - 1))
+            for k, w in enumerate(words[:-1]):
+                same = (F.get(held, i + k) == w) & same
+            return same
 
+        return F.when(F.size(held) >= len(words), F.size(F.filter(at, found))).otherwise(0)
 
-def _holds(held: Column, tree: tuple) -> Column:
+    #: The list is bound by a lambda of its own. Inside the other one, its expression would be worked out for each token.
+    return F.get(F.transform(F.array(held), places), F.lit(0))
+
+
+def _holds(has: Callable[[tuple], Column], tree: tuple) -> Column:
+    """The tree as a predicate; has: whether a term is there."""
     kind, *rest = tree
     if kind == "term":
-        return frequency(held, tree) > 0
+        return has(tree)
     if kind == "not":
-        return ~_holds(held, rest[0])
-    a, b = (_holds(held, x) for x in rest)
+        return ~_holds(has, rest[0])
+    a, b = (_holds(has, x) for x in rest)
     return a & b if kind == "and" else a | b
 
 
 def matches(text: Column, query: str) -> Column:
-    """A full-text query (see parse) as a predicate."""
-    return _holds(tokens(text), parse(query))
+    """A full-text query (see parse) as a predicate. A term is one search of the text: its words with other characters between."""
+    lowered = F.lower(text)
+
+    def has(term: tuple) -> Column:
+        _, words, prefix = term
+        pattern = "(?<![a-z0-9_])" + "[^a-z0-9_]++".join(words) + ("" if prefix else "(?![a-z0-9_])")
+        return lowered.rlike(pattern) if words else F.lit(False)
+
+    return _holds(has, parse(query))
 
 
 def bm25(docs: DataFrame, id_column: str, text: str, query: str) -> DataFrame:
@@ -153,7 +167,7 @@ def bm25(docs: DataFrame, id_column: str, text: str, query: str) -> DataFrame:
     if re.fullmatch(r"[\w\s]+", query) and not re.search(r"\b(AND|OR|NOT)\b", query, re.IGNORECASE):
         tree = None
     held = docs.select(F.col(id_column).alias("rowid"), tokens(F.col(text)).alias("__t"))
-    counted = held.select("rowid", F.size("__t").alias("__n"), *(frequency(F.col("__t"), t).alias(f"__tf_{i}") for i, t in enumerate(terms)), (F.lit(True) if tree is None else _holds(F.col("__t"), tree)).alias("__hit"))
+    counted = held.select("rowid", F.size("__t").alias("__n"), *(frequency(F.col("__t"), t).alias(f"__tf_{i}") for i, t in enumerate(terms)), (F.lit(True) if tree is None else _holds(lambda x: frequency(F.col("__t"), x) > 0, tree)).alias("__hit"))
     figures = counted.agg(F.count("*").alias("__docs"), F.avg("__n").alias("__avg"), *(F.sum((F.col(f"__tf_{i}") > 0).cast("int")).alias(f"__df_{i}") for i in range(len(terms))))
     score, any_term = F.lit(0.0), F.lit(False)
     for i in range(len(terms)):
