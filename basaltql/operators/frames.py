@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cuts import cut
+
 
 def groups_frame(df: DataFrame, partition: list[str], order: str, start: int, end: int, agg: Column, name: str) -> DataFrame:
     """agg over a GROUPS frame: from start to end peer groups away. Peers are numbered, then a RANGE frame runs on the number."""
@@ -53,6 +55,20 @@ def excluding(df: DataFrame, partition: list[str], order: list[str | Column], va
     return held.withColumn(name, out).drop("__peer", "__row")
 
 
+def count_greater(df: DataFrame, group: str, value: str, others: DataFrame, other_group: str, other_value: str, name: str) -> DataFrame:
+    """df with the number of the others in the row's group whose value is greater; 0 beside nulls. No pairs are made: the
+    different values of both sides are sorted by ranges, counted along a range, and the ranges before it added."""
+    point = lambda rows, g, v, n: rows.select(F.col(g).alias("__g"), F.col(v).alias("__v"), F.lit(n).alias("__n")).where("__g is not null and __v is not null")
+    points = point(df, group, value, 0).unionByName(point(others, other_group, other_value, 1)).groupBy("__g", "__v").agg(F.sum("__n").alias("__n"), (F.min("__n") == 0).alias("__asked"))
+    ordered = cut(points.orderBy("__g", F.desc("__v")).withColumn("__part", F.spark_partition_id()))
+    ahead = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ordered.groupBy("__g", "__part").agg(F.sum("__n").alias("__n")).select("__g", "__part", ahead(Window.partitionBy("__g").orderBy("__part")).alias("__before"))
+    within = ordered.withColumn("__within", ahead(Window.partitionBy("__g", "__part").orderBy(F.desc("__v")))).where("__asked")
+    counts = within.join(ranges, ["__g", "__part"]).select("__g", "__v", (F.col("__before") + F.col("__within")).alias("__count"))
+    out = df.join(counts, (F.col(group) == F.col("__g")) & (F.col(value) == F.col("__v")), "left")
+    return out.select(*df.columns, F.coalesce("__count", F.lit(0).cast("long")).alias(name))
+
+
 def ratio_to_report(value: str, partition: list[str]) -> Column:
     return F.try_divide(F.col(value).cast("double"), F.sum(value).over(Window.partitionBy(*partition)))
 

@@ -36,7 +36,9 @@ sql("window_offset_frame", "SELECT o_orderkey, min(o_totalprice) OVER (PARTITION
 sql("row_value_compare", "SELECT c_custkey FROM customer WHERE struct(c_nationkey, c_custkey) > struct(12, 100L)", "SELECT c_custkey FROM customer WHERE (c_nationkey, c_custkey) > (12, 100)")
 sql("collate_nocase", "SELECT count(*) AS n FROM customer WHERE c_mktsegment COLLATE UTF8_LCASE = 'building'", "SELECT count(*) AS n FROM customer WHERE lower(c_mktsegment) = 'building'")
 sql("cross_apply", "SELECT n_nationkey, x.top FROM nation, LATERAL (SELECT max(c_acctbal) AS top FROM customer WHERE c_nationkey = n_nationkey HAVING max(c_acctbal) > 0) x", "SELECT n_nationkey, max(c_acctbal) AS top FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey HAVING max(c_acctbal) > 0")
-sql("outer_apply", "SELECT s_suppkey, x.n FROM supplier LEFT JOIN LATERAL (SELECT count(*) AS n FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > s_acctbal) x", "SELECT s_suppkey, (SELECT count(*) FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > s_acctbal) AS n FROM supplier")
+query("outer_apply", "SELECT s_suppkey, (SELECT count(*) FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > s_acctbal) AS n FROM supplier")(
+    lambda spark, d: frames.count_greater(t(spark, d, "supplier"), "s_nationkey", "s_acctbal", t(spark, d, "customer"), "c_nationkey", "c_acctbal", "n").select("s_suppkey", "n")
+)
 sql("join_self", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 sql("correlated_exists_aggregate", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 query("bind_parameters", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 9")(lambda spark, d: spark.sql("SELECT p_partkey FROM {part} WHERE p_size BETWEEN :lo AND :hi", args={"lo": 5, "hi": 9}, part=t(spark, d, "part")))

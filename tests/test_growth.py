@@ -16,3 +16,22 @@ def test_phrases_of_long_texts(spark):
     assert {r.id for r in docs.where(retrieval.matches(F.col("text"), '"the an" OR NOT the*')).collect()} == {2, 4}
     assert {r.rowid for r in retrieval.bm25(docs, "id", "text", '"the an"* "the end"').collect()} == {0}
     assert time.monotonic() - at < 60
+
+
+def test_counts_of_greater_values_without_pairs(spark):
+    """Whole counts, ties and nulls included, and no join but by equality of the values."""
+    import random
+
+    from basaltql.operators import frames
+    from basaltql.plans import registry
+
+    rng, nan = random.Random(2), float("nan")
+    value = lambda: rng.choice([None, nan, 0.0, -0.0, *range(9)])
+    own = [(i, rng.choice([None, 0, 1, 2]), value()) for i in range(80)]
+    met = [(rng.choice([None, 0, 1]), value()) for _ in range(300)]
+    kind = lambda rows: [tuple(float(x) if i == len(r) - 1 and x is not None else x for i, x in enumerate(r)) for r in rows]
+    got = frames.count_greater(spark.createDataFrame(kind(own), "id int, g int, v double"), "g", "v", spark.createDataFrame(kind(met), "h int, w double"), "h", "w", "n").collect()
+    place = lambda x: float("inf") if x != x else x
+    assert {r.id: r.n for r in got} == {i: sum(h == g and None not in (g, v, w) and place(w) > place(v) for h, w in met) for i, g, v in own}
+    plan = registry.queries()["outer_apply"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert " > " not in plan
