@@ -107,8 +107,12 @@ def keep_dense_rank(df: DataFrame, group: list[str], order: Column, aggs: list[C
 
 
 def corr_or_null(x: str, y: str) -> Column:
-    """Correlation; null where a column is constant."""
-    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+    """Correlation of the rows with both values; null where a column is constant. Extremes tell that: variances of parts that are
+    put together have rounding errors."""
+    both = lambda a, b: F.when(F.col(b).isNotNull(), F.col(a))
+    u, v = both(x, y), both(y, x)
+    varied = (F.min(u) < F.max(u)) & (F.min(v) < F.max(v))
+    return F.when(varied, F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(u) * F.var_pop(v))))
 
 
 def unpivot(df: DataFrame, columns: list[str], name: str, value: str, nulls: bool = False) -> DataFrame:

@@ -35,3 +35,11 @@ def test_counts_of_greater_values_without_pairs(spark):
     assert {r.id: r.n for r in got} == {i: sum(h == g and None not in (g, v, w) and place(w) > place(v) for h, w in met) for i, g, v in own}
     plan = registry.queries()["outer_apply"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert " > " not in plan
+
+
+def test_correlation_with_a_constant_over_many_parts(spark):
+    from basaltql.operators import frames
+
+    rows = spark.range(0, 20_000, 1, 13).select((F.col("id") % 7).alias("g"), F.lit(1.0).alias("one"), F.when(F.col("id") % 5 > 0, F.col("id") * 1.0).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id") * -2.0 + 0.1).alias("w"))
+    got = rows.groupBy("g").agg(frames.corr_or_null("one", "v").alias("a"), frames.corr_or_null("v", "one").alias("b"), F.round(frames.corr_or_null("v", "w"), 9).alias("c")).collect()
+    assert [(r.a, r.b, r.c) for r in got] == [(None, None, -1.0)] * 7
