@@ -12,23 +12,38 @@ from basaltql.functions.scalar import FUNCTIONS, _literal, named, xmlelement
 from basaltql.operators.retrieval import K1, tokens
 
 
+def fixed_digits(y: Column, places: int) -> tuple[Column, Column]:
+    """The digits of a double that isn't negative before and after the point, as C prints them: its exact binary value is rounded,
+    ties to even. Java's %.2f rounds the shortest decimal text, ties up. Exact below 2**125 and up to 16 places."""
+    part = y % 1.0
+    shown = F.format_number(part, places)
+    whole = F.rint(y) if not places else y - part + F.when(F.startswith(shown, F.lit("1")), 1.0).otherwise(0.0)
+    high = F.floor(whole / 2.0**62)
+    large = high.cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + (whole - high * 2.0**62).try_cast("long").cast("decimal(19,0)")
+    digits = F.when(whole < 2.0**63, whole.try_cast("long").cast("string")).when(whole < 2.0**125, large.cast("string")).otherwise(F.substring_index(F.format_string("%.1f", y), ".", 1))
+    return digits, F.substring_index(shown, ".", -1)
+
+
 def to_char_number(x: Column, model: str) -> Column:
     """TO_CHAR of a number: 9 and 0 for digits, `,` or G, `.` or D, and FM, S or MI for the sign. Compiled with the plan."""
+    x = x.cast("double")
     m = model.upper()
     fill = not m.startswith("FM")
     m = m.removeprefix("FM")
     style = "MI" if m.endswith("MI") else "S-" if m.startswith("S") else "-S" if m.endswith("S") else ""
     whole, _, part = m.removesuffix("MI").strip("S").replace("G", ",").replace("D", ".").partition(".")
     width, places = len(re.findall("[90]", whole)), len(re.findall("[90]", part))
-    text = F.format_string(f"%.{places}f", F.abs(x.cast("double")))
-    digits = F.substring_index(text, ".", 1)
+    digits, after = fixed_digits(F.abs(x), places)
     if "0" in whole:
         digits = F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
     if "," in whole:
         digits = F.regexp_replace(digits, r"\B(?=(\d{3})+$)", ",")
     if places:
-        digits = F.concat(digits, F.lit("."), F.substring_index(text, ".", -1))
-    sign = lambda minus, plus: F.when(x < 0, minus).otherwise(plus)
+        digits = F.concat(digits, F.lit("."), after)
+    digits = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), "inf").otherwise(digits)
+    #: A zero below zero has its sign, as in C.
+    negative = (x < 0) | ((x == 0) & (x.cast("string") == "-0.0"))
+    sign = lambda minus, plus: F.when(negative, minus).otherwise(plus)
     blank = " " if fill else ""
     out = {"MI": F.concat(digits, sign("-", blank)), "S-": F.concat(sign("-", "+"), digits), "-S": F.concat(digits, sign("-", "+")), "": F.concat(sign("-", blank), digits)}[style]
     return F.when(x.isNotNull(), out)

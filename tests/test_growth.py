@@ -43,3 +43,18 @@ def test_correlation_with_a_constant_over_many_parts(spark):
     rows = spark.range(0, 20_000, 1, 13).select((F.col("id") % 7).alias("g"), F.lit(1.0).alias("one"), F.when(F.col("id") % 5 > 0, F.col("id") * 1.0).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id") * -2.0 + 0.1).alias("w"))
     got = rows.groupBy("g").agg(frames.corr_or_null("one", "v").alias("a"), frames.corr_or_null("v", "one").alias("b"), F.round(frames.corr_or_null("v", "w"), 9).alias("c")).collect()
     assert [(r.a, r.b, r.c) for r in got] == [(None, None, -1.0)] * 7
+
+
+def test_numbers_are_rounded_as_in_c(spark):
+    """Exact binary values, ties to even, where Java's format rounds the shortest decimal up."""
+    import random
+
+    from basaltql.functions.texts import to_char_number
+
+    rng = random.Random(3)
+    numbers = [0.125, 0.375, 1.005, 2.675, 2.5, 3.5, 0.995, 999.995, 0.0, -0.0, -0.001, 416850202583369.8, 2.0**53 + 2, 123456789012345678.0, 1e23, 4e37, float("nan"), float("inf"), float("-inf")]
+    numbers += [rng.randrange(-(10**7), 10**7) / 1000 for _ in range(2000)] + [rng.uniform(-1e4, 1e4) for _ in range(500)] + [10 ** rng.uniform(-8, 37) for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double").repartition(1)
+    for places in (0, 1, 2, 5, 12):
+        got = df.select("x", to_char_number(F.col("x"), "FM9999999" + ("." + "9" * places if places else "")).alias("t")).collect()
+        assert [r.t for r in got] == [f"{r.x:.{places}f}" for r in got]
