@@ -25,8 +25,10 @@ def excluding(df: DataFrame, partition: list[str], order: list[str | Column], va
     rows = Window.partitionBy(*partition).orderBy(*order)
     held = df.withColumn("__peer", F.dense_rank().over(rows)).withColumn("__row", F.row_number().over(rows))
     #: One order for both windows, also among peers.
-    whole = Window.partitionBy(*partition).orderBy("__row").rowsBetween(start, end)
-    peers = Window.partitionBy(*partition, "__peer").orderBy("__row").rowsBetween(start, end)
+    turned = start > Window.unboundedPreceding and end == Window.unboundedFollowing
+    place, frame = (F.desc("__row"), (Window.unboundedPreceding, -start)) if turned else (F.asc("__row"), (start, end))
+    whole = Window.partitionBy(*partition).orderBy(place).rowsBetween(*frame)
+    peers = Window.partitionBy(*partition, "__peer").orderBy(place).rowsBetween(*frame)
     inside = start <= 0 <= end
     if agg in ("sum", "count", "avg"):
         own = F.col(value) if inside else F.lit(None)
@@ -47,8 +49,9 @@ def excluding(df: DataFrame, partition: list[str], order: list[str | Column], va
     elif start == Window.unboundedPreceding and end == Window.unboundedFollowing:
         f, both = (F.min, F.least) if agg == "min" else (F.max, F.greatest)
         at = "__row" if exclude == "current row" else "__peer"
-        around = Window.partitionBy(*partition).orderBy(at)
-        out = both(f(value).over(around.rangeBetween(Window.unboundedPreceding, -1)), f(value).over(around.rangeBetween(1, Window.unboundedFollowing)))
+        #: A frame without an end is worked out anew for each row, so the rows after are those before in the reverse order.
+        before = lambda place: f(value).over(Window.partitionBy(*partition).orderBy(place).rangeBetween(Window.unboundedPreceding, -1))
+        out = both(before(F.asc(at)), before(F.desc(at)))
         out = both(out, F.col(value)) if exclude == "ties" else out
     else:
         raise ValueError("min and max with EXCLUDE need a frame with two bounds or none")
