@@ -6,6 +6,8 @@ import json
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,19 +53,102 @@ def range_search(df: DataFrame, id_column: str, vector: str, query: list[float],
     return df.select(F.col(id_column).alias("rowid"), METRICS[metric](F.col(vector), literal(query)).alias("distance")).where(F.col("distance") <= threshold)
 
 
-def search_join(targets: DataFrame, target_id: str, target_vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, metric: str = "l2", blocks: int | None = None) -> DataFrame:
-    """(query_rowid, rowid, distance): each query's k nearest targets.
-
-    Queries meet the targets in blocks: a query goes once to each block, an equi-join on the block's number pairs them,
-    and each block keeps k of a query before the blocks' winners are ranked together. blocks: as many as shuffle partitions."""
-    blocks = blocks or int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = targets.select(F.col(target_id).alias("rowid"), F.col(target_vector).alias("__t"), F.pmod(F.xxhash64(target_id), F.lit(blocks)).alias("__block"))
-    q = queries.select(F.col(query_id).alias("query_rowid"), F.col(query_vector).alias("__q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"))
-    met = t.join(q, "__block").select("query_rowid", "__block", "rowid", METRICS[metric](F.col("__t"), F.col("__q")).alias("distance"))
-    first = Window.partitionBy("query_rowid", "__block").orderBy("distance", "rowid")
-    last = Window.partitionBy("query_rowid").orderBy("distance", "rowid")
-    best = met.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k)
-    return best.withColumn("__n", F.row_number().over(last)).where(F.col("__n") <= k).select("query_rowid", "rowid", "distance")
+#: Rows of a meeting of targets and queries, and queries that it takes at once: what bounds a task's memory.
+MEET_TARGETS, MEET_QUERIES, AT_ONCE = 8192, 4096, 128
+
+
+def _pair_distances(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
+    """The distances of rows i of x and j of y, summed along the vector as METRICS does."""
+
+    def along(f) -> np.ndarray:
+        out = np.zeros(len(i))
+        for c in range(x.shape[1]):
+            out += f(x[i, c], y[j, c])
+        return out
+
+    if metric in ("l2", "l2sq"):
+        square = along(lambda a, b: (a - b) * (a - b))
+        return np.sqrt(square) if metric == "l2" else square
+    product = along(lambda a, b: a * b)
+    if metric == "inner_product":
+        return -product
+    size = np.sqrt(along(lambda a, b: a * a)) * np.sqrt(along(lambda a, b: b * b))
+    return 1 - np.divide(product, size, out=np.zeros(len(i)), where=size != 0)
+
+
+def _likely(x: np.ndarray, y: np.ndarray, k: int, metric: str, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, rows of y) that hold each y's k nearest: a matrix product, with a margin beyond its error and the slack."""
+    if len(x) <= k or not (np.isfinite(x).all() and np.isfinite(y).all()):
+        return np.tile(np.arange(len(x)), len(y)), np.repeat(np.arange(len(y)), len(x))
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    gaps = -(y @ x.T)
+    if metric in ("l2", "l2sq"):
+        gaps = yy[:, None] + 2 * gaps + xx[None]
+        error = 1e-10 * (np.sqrt(xx.max()) + np.sqrt(yy)) ** 2
+    elif metric == "inner_product":
+        error = 1e-10 * np.sqrt(xx.max() * yy)
+    else:
+        size = np.sqrt(yy)[:, None] * np.sqrt(xx)[None]
+        gaps = 1 + np.divide(gaps, size, out=np.zeros_like(gaps), where=size != 0)
+        error = np.full(len(y), 1e-9)
+    last = np.partition(gaps, k - 1, 1)[:, k - 1] + 2 * error
+    last = (np.sqrt(np.maximum(last, 0)) + slack) ** 2 + error if metric == "l2" else last + slack
+    #: What isn't finite after all, by overflow, stays.
+    j, i = np.nonzero(~(gaps > last[:, None]))
+    return i, j
+
+
+def search_join(targets: DataFrame, target_id: str, target_vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, metric: str = "l2", blocks: int | None = None, digits: int | None = None) -> DataFrame:
+    """(query_rowid, rowid, distance): each query's k nearest targets, ties to the smaller id; distances of null last.
+
+    Blocks of targets meet blocks of queries, all of them, but a meeting's rows are bounded. A matrix product rules most pairs
+    out, with a margin for its error; the distances of the others are summed exactly, and the meetings' winners ranked together.
+    blocks: of targets, instead of as many as the rows need. digits: places by which distances are compared."""
+    if metric not in METRICS:
+        raise ValueError(f"no metric named {metric}")
+    whole = lambda v: F.when(~F.exists(v, lambda x: x.isNull()), v.cast("array<double>"))
+    n_targets, n_queries = targets.count(), queries.count()
+    t_blocks = blocks or max(1, -(-n_targets // MEET_TARGETS), min(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_targets // 1024))
+    q_blocks = max(1, -(-n_queries // MEET_QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    t = targets.select(F.col(target_id).alias("rowid"), whole(F.col(target_vector)).alias("v"), F.pmod(F.xxhash64(target_id), F.lit(t_blocks)).cast("int").alias("b")).withColumn("c", every(q_blocks))
+    q = queries.select(F.col(query_id).alias("query_rowid"), whole(F.col(query_vector)).alias("v"), F.pmod(F.xxhash64(query_id), F.lit(q_blocks)).cast("int").alias("c")).withColumn("b", every(t_blocks))
+    names = ["query_rowid", "rowid", "distance", "place"]
+
+    def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(columns=names)]
+        ids, asked = left["rowid"].to_numpy(), right["query_rowid"].to_numpy()
+        rank = np.unique(ids, return_inverse=True)[1] if len(ids) else np.zeros(0, int)
+        dims = lambda rows: np.array([-1 if v is None else len(v) for v in rows["v"]], int)
+        t_dims, q_dims = dims(left), dims(right)
+        for dim in np.unique(q_dims).tolist():
+            own = np.flatnonzero(t_dims == dim) if dim >= 0 else np.zeros(0, int)
+            other = np.setdiff1d(np.arange(len(ids)), own)
+            other = other[np.argsort(rank[other], kind="stable")][: max(0, k - len(own))]
+            x = np.array(left["v"].iloc[own].tolist(), float).reshape(len(own), max(dim, 0))
+            mine = np.flatnonzero(q_dims == dim)
+            for at in range(0, len(mine), AT_ONCE):
+                some = mine[at : at + AT_ONCE]
+                if len(own):
+                    y = np.array(right["v"].iloc[some].tolist(), float).reshape(len(some), dim)
+                    i, j = _likely(x, y, k, metric, 0.0 if digits is None else 1.01 * 10.0**-digits)
+                    d = _pair_distances(x, y, i, j, metric)
+                    place = d
+                    if digits is not None:
+                        scaled = d * 10.0**digits
+                        place = (np.floor(scaled) + (scaled - np.floor(scaled) >= 0.5)) / 10.0**digits
+                    order = np.lexsort((rank[own[i]], place, j))
+                    first = np.searchsorted(j[order], np.arange(len(some)))
+                    order = order[np.arange(len(order)) - first[j[order]] < k]
+                    out.append(pd.DataFrame({"query_rowid": asked[some[j[order]]], "rowid": ids[own[i[order]]], "distance": d[order], "place": place[order]}))
+                if len(other):
+                    out.append(pd.DataFrame({"query_rowid": np.repeat(asked[some], len(other)), "rowid": np.tile(ids[other], len(some)), "distance": None, "place": None}))
+        return pd.concat([o for o in out if len(o)] or out)
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    near = t.groupBy("b", "c").cogroup(q.groupBy("b", "c")).applyInPandas(met, f"query_rowid {kind(q, 'query_rowid')}, rowid {kind(t, 'rowid')}, distance double, place double")
+    last = Window.partitionBy("query_rowid").orderBy(F.asc_nulls_last("place"), "rowid")
+    return near.withColumn("__n", F.row_number().over(last)).where(F.col("__n") <= k).select("query_rowid", "rowid", "distance")
 
 
 def tokens(text: Column) -> Column:

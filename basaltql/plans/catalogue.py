@@ -233,7 +233,7 @@ query("vec_range_search", f"SELECT vec_id AS rowid, round({TO_QUERY}, 6) AS dist
 @query("vec_search_join", f"SELECT query_rowid, rowid FROM (SELECT b.vec_id AS query_rowid, a.vec_id AS rowid, row_number() OVER (PARTITION BY b.vec_id ORDER BY {L2}, a.vec_id) AS r FROM embeddings a JOIN embeddings b ON b.vec_id % 100 = 0) WHERE r <= 5")
 def _(spark, d):
     e = t(spark, d, "embeddings")
-    return retrieval.search_join(e, "vec_id", "embedding", e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5).select("query_rowid", "rowid")
+    return retrieval.search_join(e, "vec_id", "embedding", e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5, digits=6).select("query_rowid", "rowid")
 
 
 @query("vec_avg", "SELECT label, round(avg(embedding[1]), 5) AS first FROM embeddings GROUP BY label")

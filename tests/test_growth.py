@@ -74,3 +74,33 @@ def test_open_frames_run_from_their_open_end(spark):
     for df in (run("min", "current row"), run("max", "group"), run("max", "ties"), run("sum", "current row", *to_end)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing$()", "")
+
+
+def test_vector_joins_hold_no_pairs(spark):
+    """Every metric's nearest by brute force, with copies, nulls and other lengths; pairs aren't rows of the plan."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    some = [[rng.choice([-1.0, 0.0, 0.5, rng.random()]) for _ in range(3)] for _ in range(60)]
+    rows = [(i, some[i % 60] if i % 17 else None if i % 2 else [1.0]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").selectExpr("id", "cast(v as array<double>) as v")
+    held = [(r.id, r.v) for r in df.collect()]
+
+    def gap(metric, a, b):
+        if a is None or b is None or len(a) != len(b):
+            return None
+        square, product = sum((x - y) ** 2 for x, y in zip(a, b)), sum(x * y for x, y in zip(a, b))
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return {"l2": math.sqrt(square), "l2sq": square, "inner_product": -product, "cosine": 1 - (product / size if size else 0.0)}[metric]
+
+    for metric, digits in (("l2", None), ("l2", 1), ("l2sq", None), ("inner_product", None), ("cosine", None)):
+        out = retrieval.search_join(df, "id", "v", df.where("id % 5 = 0"), "id", "v", 4, metric, blocks=3, digits=digits)
+        assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        place = lambda d, n=digits: (d is None, d if n is None or d is None else math.floor(d * 10**n + 0.5))
+        want = {i: [t for _, t in sorted((place(gap(metric, w, v)), t) for t, w in held)][:4] for i, v in held if i % 5 == 0}
+        got = {}
+        for r in sorted(out.collect(), key=lambda r: (place(r.distance), r.rowid)):
+            got.setdefault(r.query_rowid, []).append(r.rowid)
+        assert got == want, (metric, digits)
