@@ -11,6 +11,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,9 +146,15 @@ def recall(index, df: DataFrame, key: str, vector: str, queries: list[list[float
     exact: dict[int, set] = {i: set() for i in range(len(queries))}
     for r in search_batch(df, key, vector, queries, k, metric).collect():
         exact[r.query_idx].add(r.rowid)
-    kept = dataclasses.replace(index, rows=index.rows.persist())
-    found = [{r.rowid for r in kept.search(q, k, metric, **options).collect()} for q in queries]
-    kept.rows.unpersist()
+    if isinstance(index, Graph):
+        #: Its shards are walked for all queries at once, as they are built; nothing needs to be kept.
+        found = [set() for _ in queries]
+        for r in index.search_batch(queries, k, metric, **options).collect():
+            found[r.query_idx].add(r.rowid)
+    else:
+        kept = dataclasses.replace(index, rows=index.rows.persist())
+        found = [{r.rowid for r in kept.search(q, k, metric, **options).collect()} for q in queries]
+        kept.rows.unpersist()
     return sum(len(exact[i] & f) / max(len(exact[i]), 1) for i, f in enumerate(found)) / max(len(queries), 1)
 
 
@@ -171,8 +178,8 @@ def graph_links(x: np.ndarray, links: int) -> np.ndarray:
     n, wide = len(x), min(len(x) - 1, 3 * links)
     square = (x**2).sum(1)
     out: list[list[int]] = [[] for _ in range(n)]
-    for at in range(0, n, 512):
-        gaps = square[at : at + 512, None] - 2 * x[at : at + 512] @ x.T + square[None]
+    for at in range(0, n, 64):
+        gaps = square[at : at + 64, None] - 2 * x[at : at + 64] @ x.T + square[None]
         gaps[np.arange(len(gaps)), np.arange(at, at + len(gaps))] = np.inf
         near = np.argpartition(gaps, wide - 1, 1)[:, :wide] if wide else np.zeros((len(gaps), 0), int)
         for i, (row, some) in enumerate(zip(gaps, near, strict=True)):
@@ -266,13 +273,16 @@ class Graph:
 
         def walked(batches):
             for batch in batches:
-                for row in batch.itertuples():
+                for i in range(batch.num_rows):
+                    #: One shard of the batch at a time is copied out of Arrow.
+                    row = pd.Series(batch.slice(i, 1).to_pylist()[0])
                     ids, x = np.frombuffer(row.ids, np.int64), np.frombuffer(row.vectors).reshape(-1, row.dim)
                     levels = [(np.frombuffer(m, np.int32), np.frombuffer(n, np.int32).reshape(len(m) // 4, -1)) for m, n in zip(row.members, row.links, strict=True)]
                     found = [(i, int(ids[c]), d) for i, q in enumerate(queries) for d, c in search_graph(x, levels, np.array(q, float), k, max(width, k), metric)]
-                    yield pd.DataFrame(found, columns=["query_idx", "rowid", "distance"])
+                    at, id_, gap = zip(*found) if found else ((), (), ())
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(id_, pa.int64()), pa.array(gap, pa.float64())], ["query_idx", "rowid", "distance"])
 
-        near = self.rows.mapInPandas(walked, "query_idx int, rowid long, distance double")
+        near = self.rows.mapInArrow(walked, "query_idx int, rowid long, distance double")
         place = Window.partitionBy("query_idx").orderBy("distance", "rowid")
         return near.withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= k).drop("__n")
 
